@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from querent.llm import packing, token_counts, token_files
+from querent.llm import decontamination, packing, quality, simhash, token_counts, token_files, toxicity
 
 QUERIES = {
+    "op1_quality": quality.query,
+    "op2_toxicity": toxicity.query,
+    "op4_simhash": simhash.query,
     "op5_packing": packing.query,
+    "op6_decontamination": decontamination.query,
     "op7_token_files": token_files.query,
     "op10_token_counts": token_counts.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_decontamination": decontamination.ORACLE}

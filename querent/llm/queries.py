@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from querent.llm import decontamination, html_text, packing, quality, simhash, token_counts, token_files, toxicity
+from querent.llm import decontamination, html_text, packing, quality, simhash, suffix_dedup, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_decontamination": decontamination.query,
     "op7_token_files": token_files.query,
     "op8_html_text": html_text.query,
+    "op9_suffix_dedup": suffix_dedup.query,
     "op10_token_counts": token_counts.query,
 }
 ORACLES: dict[str, str] = {"op6_decontamination": decontamination.ORACLE}

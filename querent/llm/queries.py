@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from querent.llm import decontamination, html_text, packing, quality, simhash, suffix_dedup, token_counts, token_files, toxicity
+from querent.llm import decontamination, html_text, language_model, packing, quality, simhash, suffix_dedup, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_quality": quality.query,
     "op2_toxicity": toxicity.query,
+    "op3_language_model": language_model.query,
     "op4_simhash": simhash.query,
     "op5_packing": packing.query,
     "op6_decontamination": decontamination.query,

@@ -163,6 +163,35 @@ def occurrences(phrases: Phrases, number: np.ndarray, of: np.ndarray):
     return np.concatenate(first), np.concatenate(length), np.concatenate(which)
 
 
+class Spans:
+    """What a shard's index finds: words of each text, hit spans by text and word, and items by text."""
+
+    def __init__(self, blocks: list, raw: np.ndarray, off: np.ndarray):
+        buf, n = LOWER[raw], len(off) - 1
+        starts, ends, of = words(buf, off, IS_ALNUM)
+        h = span_hash(byte_sums(buf), starts, ends)
+        cover, self.items = np.zeros(len(h) + 1, np.int64), [set() for _ in range(n)]
+        text_of = owner(of)
+        for block in blocks:
+            phrases: Phrases = block.value
+            first, length, which = occurrences(phrases, phrases.numbers(h), of)
+            np.add.at(cover, first, 1)
+            np.add.at(cover, first + length, -1)
+            for d, size, w in set(zip(text_of[first].tolist(), length.tolist(), which.tolist())):
+                self.items[d].update(phrases.names[i] for i in phrases.by_length[size][1][w])
+            if len(blocks) > 1:
+                block.__dict__.pop("_value", None)  # read again from the executor's disk when needed
+        hit = np.concatenate([[False], np.cumsum(cover)[:-1] > 0, [False]])
+        cut = np.zeros(len(h) + 1, bool)
+        cut[of] = True
+        a = np.flatnonzero(hit[1:] & (~hit[:-1] | cut))
+        b = np.flatnonzero(hit[:-1] & (~hit[1:] | cut))
+        self.words = np.diff(of)
+        self.spans: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]  # first byte, byte after the last, words
+        for d, x, y in zip(text_of[a].tolist(), a.tolist(), b.tolist()):
+            self.spans[d].append((int(starts[x] - off[d]), int(ends[y - 1] - off[d]), y - x))
+
+
 def hits(docs: DataFrame, blocks: list) -> DataFrame:
     """For every row: its words, the merged spans (bytes, and hit words in each) and the items that occur.
 
@@ -173,37 +202,15 @@ def hits(docs: DataFrame, blocks: list) -> DataFrame:
         schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("words", pa.int64())]))), ("items", pa.list_(pa.string()))])
         for batch in batches:
             for lo, hi, raw, off in pieces(batch.column(1), SHARD_BYTES):
-                buf = LOWER[raw]
-                starts, ends, of = words(buf, off, IS_ALNUM)
-                h = span_hash(byte_sums(buf), starts, ends)
-                cover, names = np.zeros(len(h) + 1, np.int64), [set() for _ in range(hi - lo)]
-                text_of = owner(of)
-                for block in blocks:
-                    phrases: Phrases = block.value
-                    first, length, which = occurrences(phrases, phrases.numbers(h), of)
-                    np.add.at(cover, first, 1)
-                    np.add.at(cover, first + length, -1)
-                    for d, n, w in set(zip(text_of[first].tolist(), length.tolist(), which.tolist())):
-                        names[d].update(phrases.names[i] for i in phrases.by_length[n][1][w])
-                    if len(blocks) > 1:
-                        block.__dict__.pop("_value", None)  # read again from the executor's disk when needed
-                hit = np.concatenate([[False], np.cumsum(cover)[:-1] > 0, [False]])
-                cut = np.zeros(len(h) + 1, bool)
-                cut[of] = True
-                a = np.flatnonzero(hit[1:] & (~hit[:-1] | cut))
-                b = np.flatnonzero(hit[:-1] & (~hit[1:] | cut))
-                spans = [[] for _ in range(hi - lo)]
-                for d, x, y in zip(text_of[a].tolist(), a.tolist(), b.tolist()):
-                    spans[d].append({"start": int(starts[x] - off[d]), "stop": int(ends[y - 1] - off[d]), "words": y - x})
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(np.diff(of)), pa.array(spans, schema.field("spans").type), pa.array([sorted(x) for x in names], schema.field("items").type)], schema=schema)
+                found = Spans(blocks, raw, off)
+                spans = [[dict(zip(("start", "stop", "words"), s)) for s in of] for of in found.spans]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(found.words), pa.array(spans, schema.field("spans").type), pa.array([sorted(x) for x in found.items], schema.field("items").type)], schema=schema)
 
     return docs.mapInArrow(run, SCHEMA)
 
 
-def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, items and spans of every row of docs(doc_id, text); spans are byte ranges of its text."""
-    tables.small_batches(spark)
-    docs = tables.texts(docs)
+def broadcast_blocks(spark: SparkSession, benchmark: DataFrame) -> list:
+    """The benchmark's phrases in blocks of a checked size."""
     items = tables.texts(benchmark, "item_id").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), "text").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     count = 1 + size // BLOCK_BYTES
@@ -211,8 +218,14 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     for k in range(count):
         rows = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(count)) == k).sort("name", "text").collect()
         blocks.append(spark.sparkContext.broadcast(Phrases([r.name for r in rows], [r.text for r in rows])))
+    return blocks
+
+
+def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_hit, items and spans of every row of docs(doc_id, text); spans are byte ranges of its text."""
+    tables.small_batches(spark)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s.words)
-    return hits(docs, blocks).select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "spans")
+    return hits(tables.texts(docs), broadcast_blocks(spark, benchmark)).select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "spans")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,20 +250,26 @@ FROM d LEFT JOIN h USING (r) LEFT JOIN m USING (r)
 """
 
 
-def cut_spans(df: DataFrame, text: str, spans: str) -> DataFrame:
-    """Replaces each span (bytes) of a text by nothing; the rest stays as it is."""
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Hit words go from their texts, with what stands between the words of a span; every row and column stays, n_chars counts anew."""
+    tables.small_batches(spark)
+    blocks = broadcast_blocks(spark, tables.table(spark, sf_dir, "benchmark"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, which = batch.schema.get_field_index(text), batch.column(spans).to_pylist()
-            values = batch.column(at).to_pylist()
-            for i, found in enumerate(which):
-                if found:
-                    raw, out, last = values[i].encode(), [], 0
-                    for s in found:
-                        out.append(raw[last : s["start"]])
-                        last = s["stop"]
-                    values[i] = b"".join([*out, raw[last:]]).decode("utf-8")
-            yield batch.set_column(at, batch.schema.field(at), pa.array(values, batch.schema.field(at).type))
-
-    return df.mapInArrow(run, df.schema)
+            text, chars = batch.schema.get_field_index("text"), batch.schema.get_field_index("n_chars")
+            values = batch.column(text).to_pylist()
+            for lo, hi, raw, off in pieces(batch.column(text), SHARD_BYTES):
+                for i, spans in enumerate(Spans(blocks, raw, off).spans, lo):
+                    if spans:
+                        whole, out, at = values[i].encode(), [], 0
+                        for first, last, _ in spans:
+                            out.append(whole[at:first])
+                            at = last
+                        values[i] = b"".join([*out, whole[at:]]).decode("utf-8")
+            out = batch.set_column(text, batch.schema.field(text), pa.array(values, batch.schema.field(text).type))
+            if chars >= 0 and pa.types.is_integer(batch.schema.field(chars).type):
+                out = out.set_column(chars, batch.schema.field(chars), pa.array([None if v is None else len(v) for v in values], batch.schema.field(chars).type))
+            yield out
+
+    return docs.mapInArrow(run, docs.schema)

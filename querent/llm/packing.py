@@ -144,3 +144,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return digest(pack(spark, tables.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents."""
+    import public_tokenizers
+
+    return digest(pack(spark, docs, public_tokenizers.path("word_bpe_49k.json")))

@@ -117,15 +117,15 @@ def tiled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def with_fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a long) of every row."""
+    """doc_id, uid (equal for equal rows) and fp (the fingerprint's 64 bits as a long) of every row."""
     tables.small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, buf, off in pieces(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(fingerprints(buf, off).view(np.int64))], names=["doc_id", "fp"])
+            for lo, hi, buf, off in pieces(batch.column(2)):
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(fingerprints(buf, off).view(np.int64))], names=["doc_id", "uid", "fp"])
 
-    return tables.texts(docs).mapInArrow(run, "doc_id long, fp long")
+    return tables.texts(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "text").mapInArrow(run, "doc_id long, uid long, fp long")
 
 
 def bucket_keys() -> Column:
@@ -164,8 +164,8 @@ def links(distinct: DataFrame) -> DataFrame:
     return keyed.repartition(tables.read_part(distinct), "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id of every row of docs(doc_id, text)."""
+def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id, uid, fp, root (a fingerprint of the group) and component_id of every row of docs(doc_id, text)."""
     marked = tables.stored(with_fingerprints(spark, docs))
     distinct = tables.stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
@@ -173,8 +173,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     tables.small_batches(spark)
     classes = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
     least = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = classes.join(least, "root").select(F.col("fp").alias("class_fp"), "component_id")
-    return marked.join(classes, F.col("fp") == F.col("class_fp")).select("doc_id", "fp", "component_id")
+    classes = classes.join(least, "root").select(F.col("fp").alias("class_fp"), "root", "component_id")
+    return marked.join(classes, F.col("fp") == F.col("class_fp")).drop("class_fp")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id of every row of docs(doc_id, text)."""
+    return groups(spark, docs).select("doc_id", "fp", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,12 +188,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group stays: the one with the smallest doc_id, of equal ids the one with the least text."""
-    groups = near_duplicates(spark, docs).select(F.col("doc_id").alias("__key"), "component_id").distinct()
-    kept = groups.where(F.col("__key").eqNullSafe(F.col("component_id"))).select("__key")
-    mine = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__key")), "left_semi")
-    if "text" not in docs.columns:
-        return mine
-    rest = [c for c in docs.columns if c != "doc_id"]
-    one = mine.groupBy("doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("__t"), *[F.col(c) for c in rest])).alias("__row"))
-    return one.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"__row.{c}").alias(c) for c in docs.columns])
+    """One row of each near-duplicate group stays: the one with the smallest doc_id (nulls last), of equal ids one by hash."""
+    best = groups(spark, docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("best"))
+    kept = best.select(F.col("best.uid").alias("__kept"))
+    mine = docs.withColumn("__uid", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(kept, F.col("__uid") == F.col("__kept"), "left_semi")
+    # equal rows, which may differ in other columns, stay once
+    one = mine.groupBy("__uid").agg(F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("__row"))
+    return one.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])

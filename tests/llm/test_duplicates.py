@@ -73,8 +73,15 @@ def test_simhash_stage_keeps_one_of_each_group(spark, docs):
     full = docs.withColumn("component_id", docs.doc_id)
     out = simhash.stage(spark, full, "").collect()
     assert out[0].__fields__ == full.columns
-    want = {r.component_id for r in simhash.near_duplicates(spark, docs).collect()}
-    assert sorted(r.doc_id for r in out) == sorted(want)
+    want = {r.root: r.component_id for r in simhash.groups(spark, docs).collect()}
+    assert sorted(r.doc_id for r in out) == sorted(want.values())
+
+
+def test_simhash_stage_with_an_id_of_two_texts(spark):
+    text = [" ".join(f"{w}{i}" for i in range(40)) for w in "abc"]
+    docs = spark.createDataFrame([(1, text[0], "x"), (2, text[0], "y"), (2, text[1], "z"), (2, text[1], "a"), (None, text[2], "b"), (None, text[0], "c")], "doc_id long, text string, lang string")
+    out = sorted(map(str, (tuple(r) for r in simhash.stage(spark, docs, "").collect())))
+    assert out == sorted(map(str, [(1, text[0], "x"), (2, text[1], "a"), (None, text[2], "b")]))
 
 
 def test_chain_of_links(spark):

@@ -145,7 +145,7 @@ class Compiler:
         if not values:
             df = df.select(F.lit(1).alias("_1"))
         else:
-            df = df.select(*[self.typed(v, env).alias(n) for v, n in zip(values, names)])
+            df = df.select(*[self.typed(v, env).alias(n, metadata=self.metadata(info, i)) for i, v, n in zip(info.items, values, names)])
         if info.node.distinct:
             df = df.distinct()
         order = sorted(((i.priority if i.priority else k + 1, k, i.direction) for k, i in enumerate(info.items) if i.direction), key=lambda x: (x[0], x[1]))
@@ -153,6 +153,15 @@ class Compiler:
             df = df.orderBy(*[F.col(f"`{names[k]}`").desc_nulls_last() if d == "DESC" else F.col(f"`{names[k]}`").asc_nulls_last() for _, k, d in order])
         return df.limit(info.node.limit) if info.node.limit is not None else df
 
+    def metadata(self, info: SelectInfo, item: t.Item) -> dict:
+        """The label of an output column: its own, else that of its attribute."""
+        label = item.label
+        if label is None and isinstance(item.value, t.Attr):
+            b, _ = info.find(item.value.alias)
+            a = b and b.entity and b.entity.attribute(item.value.name)
+            label = a.label if a else None
+        return {"label": label} if label else {}
+
     def grouped(self, info: SelectInfo, df: DataFrame, values: list) -> tuple[DataFrame, Env]:
         """Groups by every output without aggregates; returns what outputs and HAVING are built from."""
         env, known, keys, aggregates = Env(info), {}, [], []

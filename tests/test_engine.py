@@ -194,6 +194,11 @@ def test_functions_can_be_added(spark, engine):
     assert engine.sql("SELECT count(*) AS n FROM nation").first().n == 25
 
 
+def test_labels_are_metadata(engine):
+    df = engine.query('FIND customers c FETCH c.name n "Customer name", count(c) k')
+    assert df.schema["n"].metadata == {"label": "Customer name"} and df.schema["k"].metadata == {}
+
+
 def test_plans(engine):
     text = engine.explain("FIND lineitems l, orders o FILTER l.quantity > 45 AND o.orderstatus = 'F' FETCH o.orderpriority p, sum(l.extendedprice) s")
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,45.0)" in text or "GreaterThan(l_quantity,45.0)" in text

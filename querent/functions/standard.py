@@ -146,8 +146,7 @@ def conversion_functions(r: Registry) -> None:
         define(r, n, "x:any", INTEGER, lambda g, kind=kind: (F.trim(g.columns[0]).cast("double") if g.types[0].family == "TEXT" and kind != "bigint" else g.columns[0]).cast(kind))
     define(r, "to_decimal", "x:any [p:int] [s:int]", lambda t: Type("DECIMAL", 38, 10), lambda g: g.columns[0].cast(f"decimal({number_or((g.literals + [None] * 3)[1], 38)},{number_or((g.literals + [None] * 3)[2], 10)})"))
     define(r, "to_varchar", "x:any [n:int]", TEXT, lambda g: as_text(g.columns[0], g.types[0]))
-    for family in ("TEXT", "INTEGER", "DECIMAL", "FLOAT", "BOOLEAN", "DATE", "TIME", "TIMESTAMP", "INTERVAL", "UUID", "JSON", "BLOB"):
-        r.register(Function("to_text", (Param("value", frozenset({family})),), lambda _: TEXT, lambda g: as_text(g.columns[0], g.types[0])))
+    define(r, "to_text", "value:any", TEXT, lambda g: as_text(g.columns[0], g.types[0]))
     define(r, "to_char", "x:any mask:text", TEXT, to_char)
     define(r, "to_number", "s:text mask:text", Type("DECIMAL", 38, 10), lambda g: F.to_number(g.columns[0], F.lit(g.literals[1])).cast("decimal(38,10)"))
 

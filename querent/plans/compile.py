@@ -96,11 +96,11 @@ class Compiler:
             return df.select(*[F.col(f"`{n}`").alias(column_name(alias, n)) for n in df.columns])
         table = self.catalog.tables[b.entity.table]
         df = self.backend.frame(table.name)
-        out = []
-        for a in b.entity.attributes:
-            c = table.column(a.column)
-            if c is not None:
-                out.append(decode(F.col(f"`{c.name}`"), c.type.family or "", c.encoding, df.schema[c.name].dataType, self.backend.zone).alias(column_name(alias, a.name)))
+        out, shown = [], {a.column for a in b.entity.attributes}
+        for name, column in [(a.name, a.column) for a in b.entity.attributes] + [(f"@{c.name}", c.name) for c in table.columns if c.name not in shown]:
+            c = table.column(column)
+            if c is not None and column in df.columns:
+                out.append(decode(F.col(f"`{column}`"), c.type.family or "", c.encoding, df.schema[column].dataType, self.backend.zone).alias(column_name(alias, name)))
         return df.select(*out)
 
     def joined(self, info: SelectInfo) -> DataFrame:

@@ -176,10 +176,23 @@ def test_hierarchy(spark):
         text = f"""WITH chain AS (FIND staff s FILTER s.boss ISNULL FETCH s.id id, s.name name, 0 depth {op} FIND chain c, VIA leads staff s FETCH s.id, s.name, c.depth + 1)
         FIND chain c FETCH c.name, c.depth"""
         assert sorted(map(tuple, engine.query(text).collect())) == [("a", 0), ("b", 1), ("c", 1), ("d", 2), ("e", 3)]
+    paths = """WITH roots AS (FIND staff e FILTER e.boss ISNULL FETCH e.name name, to_text(NULL) boss, to_integer(1) lvl, lpad(to_text(e.id), 3, '0') path
+    UNIONALL FIND staff e, e VIA reports_to roots r FETCH e.name, r.name, to_integer(r.lvl + 1), concat(r.path, '/', lpad(to_text(e.id), 3, '0')))
+    FIND roots r FETCH concat(rpad(' ', r.lvl * 2, ' '), r.name) tree, r.boss, r.path ASC"""
+    assert [tuple(r) for r in engine.query(paths).collect()] == [("  a", None, "001"), ("    b", "a", "001/002"), ("      d", "b", "001/002/004"), ("        e", "d", "001/002/004/005"), ("    c", "a", "001/003")]
     with pytest.raises(QueryError, match="UNION"):
         engine.query("WITH c AS (FIND staff s FETCH s.id MINUS FIND c x FETCH x.id) FIND c x FETCH x.id")
 
 
+def test_hidden_join_columns(spark):
+    c = catalog()
+    entities = {"orders": Entity("orders", "orders", (Attribute("price", "o_totalprice"),)), "people": Entity("people", "customer", (Attribute("name", "c_name"),))}
+    engine = Engine(Catalog(c.tables, c.relations, entities, {}), spark, SF)
+    df = engine.query("WITH big AS (FIND orders o FILTER o.price > 200000 FETCH count(o) k) FIND people p, + big b FETCH p.name, sum(b.k) n, count(p) m")
+    want = spark.read.parquet(f"{SF}/orders.parquet").where("o_totalprice > 200000").count()
+    assert df.columns == ["name", "n", "m"] and df.agg(F.sum("n")).first()[0] == want
+
+
 def test_errors_are_raised(engine):
     with pytest.raises(InvalidQuery, match="1:24"):
         engine.query("FIND customers c FETCH c.unknown")

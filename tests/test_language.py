@@ -3,9 +3,11 @@
 import pytest
 
 from querent.catalog.builtin import catalog
+from querent.catalog.types import Type
 from querent.catalog.schema import Attribute, Catalog, Entity, NamedLink, Relation, Table
 from querent.engine import Engine
 from querent.errors import QueryError
+from querent.functions.registry import Function, Param
 from querent.lang import tree as t
 from querent.lang.explicit import explicit
 from querent.lang.format import formatted
@@ -69,7 +71,6 @@ def only(text, **values):
     "text,message",
     [
         ("FIND customers c FETCH position(c.name)", "no overload of 'position' matches 1 argument(s) — candidates: position(substr, str)"),
-        ("FIND customers c FETCH to_text(NULL)", "ambiguous call to 'to_text': argument 1 is untyped (NULL)"),
         ("FIND orders o FETCH o.order_date + 4h2d", "largest-unit-first: '2d4h'"),
         ("FIND orders o FETCH 2d + o.order_date", "INTERVAL add DATE/TIMESTAMP is not valid"),
         ("FIND orders o FETCH 2d - o.order_date", "INTERVAL minus DATE/TIMESTAMP is not valid"),
@@ -116,12 +117,33 @@ def test_valid(text):
     assert ENGINE.validate(text) == []
 
 
+def test_untyped_arguments():
+    assert ENGINE.validate("FIND customers c FETCH to_text(NULL)") == []
+    r = ENGINE.registry.copy()
+    for family in ("INTEGER", "FLOAT"):
+        r.register(Function("spell", (Param("value", frozenset({family})),), lambda _: Type("TEXT"), lambda g: g.columns[0]))
+    engine = Engine(catalog(), registry=r)
+    assert engine.validate("FIND customers c FETCH c.name, spell(NULL)")[0].message.startswith("ambiguous call to 'spell': argument 1 is untyped (NULL)")
+    assert engine.validate("FIND customers c FETCH spell(c.acctbal)") == []
+
+
 def test_unsupported_function():
     r = ENGINE.registry.copy().unsupported("random")
     found = Engine(catalog(), registry=r).validate("FIND customers c FETCH c.name, random()")
     assert [v.message for v in found] == ["function 'random' is not supported by this dialect"]
 
 
+def test_join_columns_need_not_be_shown():
+    c = catalog()
+    orders = Entity("orders", "orders", (Attribute("price", "o_totalprice"),))
+    people = Entity("people", "customer", (Attribute("name", "c_name"),))
+    hidden = Catalog(c.tables, c.relations, {"orders": orders, "people": people}, {})
+    engine = Engine(hidden)
+    assert engine.validate("WITH big AS (FIND orders o FILTER o.price > 10 FETCH sum(o.price) s) FIND people p, + big b FETCH p.name, count(b) n, count(p) m") == []
+    a, _ = engine.analyse("FIND people p, orders o FETCH p.name, count(o) n")
+    assert "JOIN orders o ON p.@c_custkey = o.@o_custkey" in explicit(a) and "count(o.@o_orderkey)" in explicit(a)
+
+
 def test_placeholders():
     assert ENGINE.validate("FIND customers c FILTER c.custkey #ids AND c.name = #n FETCH c.name", {"ids": [1, 2], "n": "x"}) == []
     assert ENGINE.validate("WITH a #q FIND a x FETCH x.k", {"q": "FIND customers c FETCH c.custkey k"}) == []

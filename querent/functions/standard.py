@@ -142,7 +142,7 @@ def conversion_functions(r: Registry) -> None:
     define(r, "to_boolean", "x:any", BOOLEAN, lambda x: x.cast("boolean"))
     for n in ("to_float", "to_double"):
         define(r, n, "x:any", FLOAT, lambda x: x.cast("double"))
-    for n, kind in (("to_integer", "int"), ("to_bigint", "bigint"), ("to_smallint", "smallint")):
+    for n, kind in (("to_integer", "int"), ("to_int", "int"), ("to_bigint", "bigint"), ("to_smallint", "smallint")):
         define(r, n, "x:any", INTEGER, lambda g, kind=kind: (F.trim(g.columns[0]).cast("double") if g.types[0].family == "TEXT" and kind != "bigint" else g.columns[0]).cast(kind))
     define(r, "to_decimal", "x:any [p:int] [s:int]", lambda t: Type("DECIMAL", 38, 10), lambda g: g.columns[0].cast(f"decimal({number_or((g.literals + [None] * 3)[1], 38)},{number_or((g.literals + [None] * 3)[2], 10)})"))
     define(r, "to_varchar", "x:any [n:int]", TEXT, lambda g: as_text(g.columns[0], g.types[0]))

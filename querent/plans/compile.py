@@ -42,6 +42,24 @@ class Compiler:
         self.spark, self.a, self.types, self.backend = spark, analysis, typing.types, backend
         self.catalog: Catalog = analysis.catalog
         self.blocks: dict[str, DataFrame] = {}
+        self.used: set[tuple[str, str]] = set()
+        for b in self.a.blocks.values():
+            self.note_set(b.body)
+        self.note_set(self.a.body)
+
+    def note_set(self, s: SetInfo) -> None:
+        for info in s.selects():
+            self.note(info)
+
+    def note(self, info: SelectInfo) -> None:
+        """Remembers which attributes a select uses: scans project only those."""
+        for e in info.edges:
+            for x, y in e.pairs:
+                self.used |= {(e.parent, x), (e.child, y)}
+        for node in [i.value for i in info.items] + info.conditions + info.having + [x for v in info.inside.values() for x in v]:
+            self.used |= {(x.alias, x.name) for x in t.walk(node, into_selects=False) if isinstance(x, t.Attr)}
+        for inner in info.inner.values():
+            self.note(inner)
 
     def query(self) -> DataFrame:
         for b in self.a.blocks.values():
@@ -98,10 +116,10 @@ class Compiler:
         df = self.backend.frame(table.name)
         out, shown = [], {a.column for a in b.entity.attributes}
         for name, column in [(a.name, a.column) for a in b.entity.attributes] + [(f"@{c.name}", c.name) for c in table.columns if c.name not in shown]:
-            c = table.column(column)
-            if c is not None and column in df.columns:
+            c = table.column(column) if (alias, name) in self.used else None
+            if c is not None:
                 out.append(decode(F.col(f"`{column}`"), c.type.family or "", c.encoding, df.schema[column].dataType, self.backend.zone).alias(column_name(alias, name)))
-        return df.select(*out)
+        return df.select(*out) if out else df.select(F.lit(1).alias(column_name(alias, "@none")))
 
     def joined(self, info: SelectInfo) -> DataFrame:
         down: dict[str, list] = {}
@@ -118,8 +136,8 @@ class Compiler:
                 else:
                     # the optional part is complete, with its conditions, before it is joined
                     part = grow(self.scan(info, e.child), e.child)
-                    for x in info.inside.get(e.child, ()):
-                        part = part.where(self.logical(x, env))
+                    if info.inside.get(e.child):
+                        part = part.where(reduce(and_, [self.logical(x, env) for x in info.inside[e.child]]))
                     df = df.join(part, condition, "left")
             return df
 
@@ -131,9 +149,7 @@ class Compiler:
 
     def filtered(self, info: SelectInfo) -> DataFrame:
         df, env = self.joined(info), Env(info)
-        for x in info.conditions:
-            df = df.where(self.logical(x, env))
-        return df
+        return df.where(reduce(and_, [self.logical(x, env) for x in info.conditions])) if info.conditions else df
 
     def select(self, info: SelectInfo) -> DataFrame:
         df, names = self.filtered(info), info.names()

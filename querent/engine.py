@@ -65,6 +65,16 @@ class Engine:
 
     # with data
 
+    def explicit(self, text: str) -> DataFrame:
+        """Runs a query in the explicit form (SELECT ... JOIN ... OWNER)."""
+        from querent.lang.explicit_parser import parse_explicit
+
+        a = Analysis(parse_explicit(text), self.catalog, self.registry, text)
+        types = Typing(a)
+        if a.violations:
+            raise InvalidQuery(a.violations, text)
+        return Compiler(self.spark, a, types, self.backend).query()
+
     def query(self, text: str, values: dict | None = None) -> DataFrame:
         a, types = self.analyse(text, values)
         if a.violations:

@@ -207,6 +207,23 @@ def test_functions_can_be_added(spark, engine):
     assert engine.sql("SELECT count(*) AS n FROM nation").first().n == 25
 
 
+def test_explicit_form(engine):
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    text = """SELECT customers c OUT c.name customer 1 GROUP c.name 1
+      JOIN same_customer orders o OUT count(o.orderkey) n 2 HAVING count(o.orderkey) > 3 ORDER count(o.orderkey) DESC 1
+        FILTER o.order_date BETWEEN "1996-01-01" AND "1996-12-31" OWNER"""
+    assert rows(engine.explicit(text)) == rows(engine.query('FIND customers c, orders o FILTER count(o) > 3 AND o.order_date BETWEEN "1996-01-01" AND "1996-12-31" FETCH c.name customer, count(o) n DESC'))
+    text = """WITH a AS (SELECT customers c OUT c.custkey k JOIN OPTIONAL same_customer orders o FILTER o.totalprice > 400000 OUT o.totalprice p OWNER
+      ALL FILTER NOT EXISTS (c same_customer orders o2 JOIN same_order lineitems l FILTER l.quantity > 49 OWNER) OR c.acctbal > 9000)
+      SELECT DISTINCT a x OUT x.k ORDER x.k DESC LIMIT 5"""
+    want = "WITH a AS (FIND customers c, + orders o FILTER o.totalprice > 400000 AND (NOT EXISTS (c orders o2, lineitems l FILTER l.quantity > 49) OR c.acctbal > 9000) FETCH c.custkey k, o.totalprice p) FIND a x FETCH DISTINCT x.k DESC LIMIT 5"
+    assert [tuple(r) for r in engine.explicit(text).collect()] == [tuple(r) for r in engine.query(want).collect()]
+    groups = engine.explicit("SELECT customers c GROUP c.nationkey GROUP c.mktsegment OUT count(c.custkey) n")
+    assert groups.columns == ["n"] and groups.count() == engine.query("FIND customers c FETCH DISTINCT c.nationkey, c.mktsegment").count()
+    back = "SELECT customers c JOIN same_nation nations n JOIN same_nation suppliers s OUT s.suppkey OWNER OWNER JOIN same_nation REF n OWNER"
+    assert engine.explicit(back).count() == engine.query("FIND customers c, nations n, suppliers s, c nations n FETCH s.suppkey").count()
+
+
 def test_labels_are_metadata(engine):
     df = engine.query('FIND customers c FETCH c.name n "Customer name", count(c) k')
     assert df.schema["n"].metadata == {"label": "Customer name"} and df.schema["k"].metadata == {}

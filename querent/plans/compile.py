@@ -393,7 +393,10 @@ class Compiler:
                 out = f.build(Given(columns, types, literals, self.backend.zone))
                 if f.kind == AGGREGATE and node.window is None:
                     return out
-        return out.over(self.window(node.window, env)) if node.window is not None else out
+        if node.window is None:
+            return out
+        out = out.over(self.window(node.window, env))
+        return out.cast("bigint") if node.name in ("row_number", "rank", "dense_rank", "ntile") else out
 
     def window(self, w: t.Window, env: Env):
         out = W.partitionBy(*[self.column(x, env) for x in w.partition])

@@ -24,7 +24,7 @@ from querent.llm.textbatch import IS_ALNUM, LOWER, byte_sums, column_bytes, expa
 
 WINDOW = 10
 SAMPLE = 8
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: benchmark text that is broadcast at once; a larger benchmark is searched in blocks
 BLOCK_BYTES = 16 << 20
 

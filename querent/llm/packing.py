@@ -31,7 +31,7 @@ WINDOW = 4096
 TIERS = (512, 1024, 2048, WINDOW)
 STEP_TOKENS = 16 * WINDOW
 END_ID = 2
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length long, tier int, step_group long"
 

@@ -25,7 +25,7 @@ from querent.llm.bpe import word_bpe
 from querent.llm.textbatch import mix, pieces
 
 END_ID = 1
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 GAMMA = 1.5
 LEVELS = 24
 NULL_KEY = 0x6E756C6C

@@ -10,6 +10,7 @@ an empty table gives no rows; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,9 +21,10 @@ from pyspark.sql import functions as F
 from querent.llm import tables
 from querent.llm.textbatch import byte_sums, pieces, span_hash, sums_by
 
-#: the broadcast table holds at most so many pre-tokens, taken from at most so many texts; both only set its hit rate
+#: the broadcast table holds at most so many pre-tokens, taken from so many texts of the first partitions; this only sets its hit rate
 TABLE_ENTRIES = 1 << 16
 SAMPLE_TEXTS = 4000
+SAMPLE_PARTITIONS = 32
 CACHE_ENTRIES = 500_000
 LIMIT = 4096
 MARK = "▁".encode()
@@ -138,22 +140,34 @@ class Counter:
 
 
 def frequent(spark: SparkSession, docs: DataFrame, path: str, entries: int = TABLE_ENTRIES, texts: int = SAMPLE_TEXTS):
-    """The tier-1 table: hashes and token counts of the most frequent pre-tokens of a bounded number of texts."""
+    """The tier-1 table: hashes and token counts of the most frequent pre-tokens of a bounded number of texts.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, total = Counter(path), {}
-        for batch in batches:
-            for _, _, buf, off in pieces(batch.column(0)):
+    Only the first partitions are read, few at a time, until there are enough texts; a full scan would only serve a cache.
+    """
+
+    def count(rows: Iterator) -> list[tuple[int, list]]:
+        counter, total, seen = Counter(path), {}, 0
+        while batch := [r.text for r in itertools.islice(rows, min(200, texts - seen))]:
+            seen += len(batch)
+            for _, _, buf, off in pieces(pa.array(batch, pa.large_string())):
                 out, starts, ends, _ = pretokens(buf, off)
                 if len(out):
                     u, n, _, got = counter.distinct(out, starts, ends, span_hash(byte_sums(out), starts, ends) | np.uint64(1))
                     for k, x, c in zip(u.tolist(), n.tolist(), got.tolist()):
                         total[k] = (total.get(k, (0,))[0] + x, c)
         best = sorted(total.items(), key=lambda kv: (-kv[1][0], kv[0]))[:entries]
-        yield pa.RecordBatch.from_arrays([pa.array(np.array([k for k, _ in best], np.uint64).view(np.int64)), pa.array([v[1] for _, v in best], pa.int64())], names=["h", "n"])
-
-    rows = docs.select("text").limit(texts).coalesce(1).mapInArrow(count, "h long, n long").toPandas()
-    return rows.h.to_numpy(np.int64).view(np.uint64), rows.n.to_numpy(np.int32)
+        return [(seen, [(k, n, c) for k, (n, c) in best])]
+
+    source = docs.select("text").rdd
+    parts, at, step, seen, total = source.getNumPartitions(), 0, 1, 0, {}
+    while at < min(parts, SAMPLE_PARTITIONS) and seen < texts:
+        for n, rows in spark.sparkContext.runJob(source, count, list(range(at, min(at + step, parts)))):
+            seen += n
+            for k, x, c in rows:
+                total[k] = (total.get(k, (0,))[0] + x, c)
+        at, step = at + step, step * 2
+    best = sorted(total.items(), key=lambda kv: (-kv[1][0], kv[0]))[:entries]
+    return np.array([k for k, _ in best], np.uint64), np.array([v[1] for _, v in best], np.int32)
 
 
 def token_counts(spark: SparkSession, docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:

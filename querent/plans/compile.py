@@ -5,7 +5,10 @@ Every alias's attributes are columns alias__attribute, so self joins and correla
 
 from __future__ import annotations
 
+import math
+from datetime import date, datetime, timedelta
 from decimal import Decimal
+from fractions import Fraction
 from functools import reduce
 from operator import and_, or_
 
@@ -24,6 +27,7 @@ from querent.plans.typing import OPERATORS, Typing
 from querent.sources.store import stored
 
 ROUNDS = 100
+FLIPPED = {"=": "=", "<": ">", "<=": ">=", ">": "<", ">=": "<="}
 
 
 def column_name(alias: str, attribute: str) -> str:
@@ -42,6 +46,7 @@ class Compiler:
         self.spark, self.a, self.types, self.backend = spark, analysis, typing.types, backend
         self.catalog: Catalog = analysis.catalog
         self.blocks: dict[str, DataFrame] = {}
+        self.kept: list = []
         self.used: set[tuple[str, str]] = set()
         for b in self.a.blocks.values():
             self.note_set(b.body)
@@ -117,6 +122,8 @@ class Compiler:
         out, shown = [], {a.column for a in b.entity.attributes}
         for name, column in [(a.name, a.column) for a in b.entity.attributes] + [(f"@{c.name}", c.name) for c in table.columns if c.name not in shown]:
             c = table.column(column) if (alias, name) in self.used else None
+            if c is not None and c.encoding:
+                out.append(F.col(f"`{column}`").alias(column_name(alias, name) + "__raw"))  # for comparisons with literals
             if c is not None:
                 out.append(decode(F.col(f"`{column}`"), c.type.family or "", c.encoding, df.schema[column].dataType, self.backend.zone).alias(column_name(alias, name)))
         return df.select(*out) if out else df.select(F.lit(1).alias(column_name(alias, "@none")))
@@ -258,8 +265,8 @@ class Compiler:
             low, high = node.right
             if isinstance(high, (t.DateLiteral, t.TimestampLiteral)) and kind.family in ("DATE", "TIMESTAMP", None):
                 # an upper bound takes its whole day
-                end = F.date_add(F.lit(high.value if isinstance(high, t.DateLiteral) else high.value.date()), 1)
-                above = left < (end if kind.family == "DATE" else end.cast("timestamp_ntz"))
+                day = high.value if isinstance(high, t.DateLiteral) else high.value.date()
+                above = self.compared("<", node.left, self.made(t.DateLiteral(day + timedelta(days=1)), Type("DATE")), env)
             else:
                 above = self.compared("<=", node.left, high, env)
             return self.compared(">=", node.left, low, env) & above
@@ -276,7 +283,43 @@ class Compiler:
         missing = ~df.where(value == x).exists()
         return missing & ~df.where(value.isNull()).exists() & (self.column(node.left, env).isNotNull() | ~df.exists())
 
+    def made(self, node, kind: Type):
+        """A node of our own, with its type; it stays alive so that its id stays its own."""
+        self.kept.append(node)
+        self.types[id(node)] = kind
+        return node
+
+    def raw_compared(self, op: str, a, b, env: Env) -> Column | None:
+        """An encoded column against a literal as a comparison of what is stored, which reaches the scan; None where that isn't the same."""
+        if not isinstance(a, t.Attr) or a in env.known:
+            return None
+        binding, outer = env.info.find(a.alias)
+        if binding is None or binding.entity is None or outer or isinstance(env, OuterEnv):
+            return None
+        c = self.catalog.column_of(binding.entity.name, a.name)
+        kind, _, detail = ((c and c.encoding) or "").partition(":")
+        if kind == "DATE_FROM_EPOCH_DAY" and isinstance(b, t.DateLiteral):
+            value = Fraction((b.value - date(1970, 1, 1)).days)
+        elif kind == "EPOCH" and detail in ("SECONDS", "MILLIS", "MICROS") and self.backend.zone == "UTC" and isinstance(b, (t.DateLiteral, t.TimestampLiteral)):
+            at = b.value if isinstance(b, t.TimestampLiteral) else datetime.combine(b.value, datetime.min.time())
+            value = Fraction((at - datetime(1970, 1, 1)) // timedelta(microseconds=1), {"SECONDS": 1_000_000, "MILLIS": 1000, "MICROS": 1}[detail])
+        elif kind == "SCALED" and isinstance(b, t.Number):
+            value = Fraction(b.value) * 10 ** int(detail)
+        else:
+            return None
+        raw = F.col(column_name(a.alias, a.name) + "__raw")
+        if op == "=" and value.denominator != 1:
+            return F.when(raw.isNotNull(), False)
+        # a value between two stored ones moves to the one that keeps the comparison
+        n = math.ceil(value) if op in ("<", ">=") else math.floor(value)
+        return {"=": raw == n, "<": raw < n, "<=": raw <= n, ">": raw > n, ">=": raw >= n}[op]
+
     def compared(self, op: str, a, b, env: Env) -> Column:
+        direct = self.raw_compared(op, a, b, env)
+        if direct is None and op in FLIPPED:
+            direct = self.raw_compared(FLIPPED[op], b, a, env)
+        if direct is not None:
+            return direct
         x, y = self.column(a, env), self.column(b, env)
         p, q = self.types.get(id(a), Type()), self.types.get(id(b), Type())
         if {p.family, q.family} == {"DATE", "TIMESTAMP"}:

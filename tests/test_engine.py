@@ -73,6 +73,26 @@ def test_encodings(spark):
         check_encoding("DATE", "TIME_FROM_INTEGER")
 
 
+def test_literals_meet_stored_values(spark, tmp_path):
+    """Encoded columns are compared as they are stored, with the same result as after decoding."""
+    rows = [(i, 19800 + i, 1712924080 + i * 40_000, 1712924080000 + i * 40_000_000 + i, 1000 + i * 33) for i in range(40)] + [(99, None, None, None, None)]
+    schema = "n int, day int, es bigint, em bigint, money bigint"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "enc.parquet"))
+    columns = [Column("n", Type("INTEGER")), Column("day", Type("DATE"), "DATE_FROM_EPOCH_DAY"), Column("es", Type("TIMESTAMP"), "EPOCH:SECONDS"), Column("em", Type("TIMESTAMP"), "EPOCH:MILLIS"), Column("money", Type("DECIMAL", 38, 2), "SCALED:2")]
+    t = Table("enc", tuple(columns))
+    engine = Engine(Catalog({"enc": t}, {}, {"enc": Entity("enc", "enc", tuple(Attribute(c.name, c.name) for c in columns))}, {}), spark, str(tmp_path))
+    every = {r.n: r for r in engine.query("FIND enc t FETCH t.n, t.day, t.es, t.em, t.money").collect()}
+    literals = {"day": ('"2024-03-20"', dt.date(2024, 3, 20)), "es": ('"2024-04-15 10:00:00.500"', dt.datetime(2024, 4, 15, 10, 0, 0, 500_000)), "em": ('"2024-04-12 12:14:40"', dt.datetime(2024, 4, 12, 12, 14, 40)), "money": ("13.305", 13.305)}
+    test = {"=": lambda a, b: a == b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
+    for name, (text, value) in literals.items():
+        for op, f in test.items():
+            want = {n for n, r in every.items() if r[name] is not None and f(float(r[name]) if name == "money" else r[name], value)}
+            assert {r.n for r in engine.query(f"FIND enc t FILTER t.{name} {op} {text} FETCH t.n").collect()} == want, (name, op)
+    between = engine.query('FIND enc t FILTER t.es BETWEEN "2024-04-13" AND "2024-04-14" FETCH t.n').collect()
+    assert {r.n for r in between} == {n for n, r in every.items() if r.es and dt.date(2024, 4, 13) <= r.es.date() <= dt.date(2024, 4, 14)}
+    assert "LessThan(es," in engine.explain('FIND enc t FILTER t.es < "2024-04-14" FETCH t.n')
+
+
 def test_fall_back_hours(spark):
     columns = [Column("n", Type("INTEGER")), Column("z", Type("TIMESTAMP"), "INSTANT")]
     rows = [(1, dt.datetime(2024, 11, 3, 5, 30, tzinfo=dt.timezone.utc)), (2, dt.datetime(2024, 11, 3, 6, 30, tzinfo=dt.timezone.utc))]

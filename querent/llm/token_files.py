@@ -182,6 +182,5 @@ def read_documents(spark: SparkSession, shards: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "64")  # rows of some megabytes
     shards = write_shards(spark, tables.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return read_documents(spark, shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -7,8 +7,9 @@ their parent's last state, the parent on the driver; predictive probabilities ar
 first. Words of the common class come from one more restaurant whose tables are the words themselves, with the rest for
 an unseen word, so that probabilities over the known words and one unknown word add up to 1.
 
-Counts are exact for all training texts: frequent tokens by arrays on the map side, all other tokens in one exchange by
-token, where the same rows give the counts and look them up.
+Counts are exact for all training texts: one exchange of each part's counts gives every type's count, from which come
+the ranking and the discount of rare words; frequent tokens are then counted by arrays on the map side, all other tokens
+in one exchange by token, where the same rows give the counts and look them up.
 
 Defined results: a null or empty text has its end alone; null doc_ids train; repeated rows count and score each; without
 training texts all scores are 0; an empty table gives no rows; other columns are ignored. Tokens are compared by 64-bit
@@ -29,7 +30,6 @@ from querent.llm.textbatch import IS_PLAIN, LOWER, byte_sums, mix, owner, pieces
 
 #: tokens with counts on the map side, at most; any other token is a smaller share of all tokens than each of them
 FREQUENT = 200_000
-LOCAL_COUNT = 4
 #: dishes: the most frequent tokens, and one class for the others
 DISHES = 2048
 SWEEPS = 4
@@ -62,14 +62,12 @@ def merged(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def local_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens that are frequent in a part of the training texts; rows of h = 0 count a part's singletons (n) and pairs (m)."""
+    """Counts of all tokens in a part of the training texts."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def out():
         h, n = merged(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
-        one, two = int((n == 1).sum()), int((n == 2).sum())
-        keep = n >= LOCAL_COUNT
-        return pa.RecordBatch.from_arrays([pa.array(np.append(h[keep].view(np.int64), 0)), pa.array(np.append(n[keep], one)), pa.array(np.append(np.zeros(int(keep.sum()), np.int64), two))], names=["h", "n", "m"])
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
     for batch in batches:
         for _, _, buf, off in pieces(batch.column(0)):
@@ -82,6 +80,12 @@ def local_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def discount_of(counts: DataFrame) -> float:
+    """The discount that the numbers of counts n = 1 and n = 2 of a table with one row for each type suggest."""
+    one, two = counts.agg(*[F.coalesce(F.sum((F.col("n") == k).cast("long")), F.lit(0)) for k in (1, 2)]).first()
+    return float(np.clip((one + 1) / (one + 2 * two + 2), 0.1, 0.95))
+
+
 class Vocabulary:
     """Frequent tokens by hash; the first ones by rank are dishes."""
 
@@ -274,8 +278,7 @@ def sampled(spark: SparkSession, pairs: DataFrame, dishes: int) -> np.ndarray:
     rows = pairs.groupBy((F.expr(f"key div {dishes}")).cast("int").alias("u")).agg(F.array_sort(F.collect_list(F.struct((F.col("key") % dishes).cast("int").alias("w"), F.col("n").alias("c")))).alias("x"))
     none = F.array().cast("array<long>")
     state = tables.stored(rows.select("u", F.col("x.w").alias("w"), F.col("x.c").alias("c"), F.array().cast("array<int>").alias("t"), none.alias("sizes"), none.alias("tsum")))
-    ones = pairs.agg(F.coalesce(F.sum((F.col("n") == 1).cast("long")), F.lit(0)), F.coalesce(F.sum((F.col("n") == 2).cast("long")), F.lit(0))).first()
-    d = float(np.clip((ones[0] + 1) / (ones[0] + 2 * ones[1] + 2), 0.1, 0.95))
+    d = discount_of(pairs)
     theta = CONCENTRATION
     base, rng, parent = np.full(dishes, 1 / dishes), np.random.default_rng(78), None
     second = np.zeros((dishes, dishes))
@@ -337,11 +340,10 @@ def perplexity(spark: SparkSession, docs: DataFrame) -> DataFrame:
     tables.small_batches(spark)
     docs = keyed(docs)
     training = docs.where("not held_out").select("text")
-    counted = training.mapInArrow(local_counts, "h long, n long, m long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    counted = tables.stored(counted)
-    ones = counted.where("h = 0").first()
-    discount = float(np.clip((ones.n + 1) / (ones.n + 2 * ones.m + 2), 0.1, 0.95)) if ones else 0.5
-    ranked = counted.where("h <> 0").orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toPandas().h.to_numpy(np.int64).view(np.uint64)
+    # one row for each type of the whole corpus
+    counted = tables.stored(training.mapInArrow(local_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    discount = discount_of(counted)
+    ranked = counted.orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toPandas().h.to_numpy(np.int64).view(np.uint64)
     vocabulary = Vocabulary(ranked)
     dishes = vocabulary.dishes
     exact = tables.stored(training.mapInArrow(exact_counts(vocabulary), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))

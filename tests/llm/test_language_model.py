@@ -72,6 +72,21 @@ def test_moves_keep_the_seating_whole():
         assert (np.bincount(np.repeat(np.arange(50), room.t), weights=room.sizes) == c).all()
 
 
+def test_ranking_and_discount_do_not_depend_on_partitions(spark, monkeypatch):
+    """Few tokens are frequent, so that the ranking decides, and the words of each part are rare in it."""
+    monkeypatch.setattr(lm, "DISHES", 8)
+    monkeypatch.setattr(lm, "FREQUENT", 12)
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.4, 12) % 60)) for i in range(300)]
+    scores = []
+    for parts in (1, 24):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        scores.append([r.score for r in lm.perplexity(spark, docs).orderBy("doc_id").collect()])
+    assert np.allclose(*scores)
+    counts = spark.createDataFrame([(1,), (1,), (1,), (2,), (9,)], "n long")
+    assert lm.discount_of(counts) == pytest.approx(4 / 7)
+
+
 def partitions(n, largest=None):
     largest = largest or n
     if n == 0:

@@ -2,8 +2,8 @@
 
 Tokens are words and one end. The most frequent ones and one class for all others are the dishes of a hierarchy of
 Chinese restaurants: one restaurant for each previous class, all with the same parent, whose base is uniform. Seatings
-are sampled by Gibbs moves (a customer leaves its table and sits down again), the restaurants in parallel against
-their parent's last state, the parent on the driver; predictive probabilities are averaged over the sweeps after the
+are sampled by Gibbs sweeps over all customers (a dish's number of tables is drawn from its exact distribution given the
+others, however many customers it has), the restaurants in parallel against their parent's last state, the parent on the driver; predictive probabilities are averaged over the sweeps after the
 first. Words of the common class come from one more restaurant whose tables are the words themselves, with the rest for
 an unseen word, so that probabilities over the known words and one unknown word add up to 1.
 
@@ -33,7 +33,12 @@ FREQUENT = 200_000
 #: dishes: the most frequent tokens, and one class for the others
 DISHES = 2048
 SWEEPS = 4
-MOVES = 12
+#: draws of a number of tables until one is accepted, at most; draws at once
+TRIES = 4096
+WIDTH = 1 << 16
+MANY = 32
+#: strengths that are tried, as shares of the weight of a new table
+STRENGTHS = tuple(2.0**-k for k in range(12)) + (2.0, 4.0)
 CONCENTRATION = 5.0
 END = np.uint64(0xE4D0F7E474E4D001)
 HELD_ROWS = 3_000_000
@@ -179,18 +184,128 @@ def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total]), pa.array([types])], names=["uid", "n", "c"])
 
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """log of the gamma function of positive numbers."""
+    x = np.asarray(x, float)
+    shift = np.zeros(x.shape)
+    for _ in range(8):
+        low = x < 8
+        shift = shift + np.where(low, np.log(np.where(low, x, 1.0)), 0.0)
+        x = np.where(low, x + 1, x)
+    return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - shift
+
+
+def tables_found(c: np.ndarray, d: float, theta: np.ndarray, rng) -> np.ndarray:
+    """Numbers of tables that c customers take in restaurants of discount d and strengths theta above -d, without a base."""
+    t = np.ones(len(c), np.int64)
+    live = np.flatnonzero(c > 1)
+    left = c[live] - 1
+    while len(live):
+        # the customers who do not join the table opened last go on to later tables
+        left = rng.binomial(left, rng.beta(theta[live] + d * t[live], 1 - d))
+        more = left > 0
+        live, left = live[more], left[more] - 1
+        t[live] += 1
+    return t
+
+
+def window_draw(c: int, a: float, d: float, rng) -> int:
+    """A draw in proportion to a**t S(c, t) where the alternating series of S(c, t) converges without loss, or 0 elsewhere:
+    for t up to about c**d, so that all t within 12 deviations of the mode can be weighed."""
+    low, high = -700.0, 0.0  # log(1 - z) at the saddle point a z (1 - z)**(d - 1) = c
+    for _ in range(60):
+        mid = (low + high) / 2
+        if np.log(a) + np.log1p(-np.exp(min(mid, -1e-300))) + (d - 1) * mid > np.log(c):
+            low = mid
+        else:
+            high = mid
+    mode, reach = a * -np.expm1(d * low) / d, 12 * np.sqrt(a / d) + 12
+    t = np.arange(max(1, int(mode - reach)), min(c, int(mode + reach)) + 1, dtype=float)
+    if t[-1] > 3 * c**d or c < 1000:
+        return 0
+    j = np.arange(1, 151, dtype=float)
+    x = j * d
+    # log of gamma(c - x) / gamma(c), without the difference of two large numbers
+    fall = (c - x - 0.5) * np.log1p(-x / c) - x * np.log(c) + x + (1 / (c - x) - 1 / c) / 12
+    # t (t - 1) ... (t - j + 1) / j!, zero above t
+    falls = np.cumsum(np.log(np.maximum(t[:, None] - j + 1, 1e-300)), axis=1)
+    terms = np.exp(falls + log_gamma(1 + x) + fall - log_gamma(j + 1)) * np.where(j % 2 == 1, 1, -1) * np.sin(np.pi * x)
+    s, top = terms.sum(1), np.abs(terms).max(1)
+    if (s < 1e-4 * top).any() or (np.abs(terms[:, -5:]).max(1) > 1e-9 * s).any():
+        return 0
+    p = t * (np.log(a) - np.log(d)) - log_gamma(t + 1) + np.log(np.maximum(s, 1e-300))
+    total = np.cumsum(np.exp(p - p.max()))
+    return int(t[np.searchsorted(total, rng.random() * total[-1], "right")])
+
+
+def table_counts(c: np.ndarray, t: np.ndarray, a: np.ndarray, d: float, rng) -> np.ndarray:
+    """New numbers of tables of dishes with c customers, with probability in proportion to a**t S(c, t), where S(c, t) is
+    the sum of all seatings of c customers at t tables: one exact draw in place of a pass over all customers.
+
+    Draws come from a restaurant of strength s without a base, whose probabilities are in proportion to
+    s (s + d) ... (s + (t-1) d) S(c, t), and are rejected by the ratio of the two, so S itself is not needed. s is chosen to
+    be rejected least. Dishes of many tables are drawn by window_draw() where that holds. A dish without an accepted draw in TRIES keeps its t, which leaves the distribution as it is.
+    """
+    out = t.copy()
+    some = np.flatnonzero(c > 1)
+    if not len(some):
+        return out
+    log_a, n = np.log(a[some]), c[some].astype(float)
+
+    def weight(s, t, k):
+        return (t - 1) * (log_a[k] - np.log(d)) - log_gamma(s / d + t) + log_gamma(s / d + 1)
+
+    def most(s, k):
+        # the weight rises while a exceeds s + t d
+        return weight(s, np.clip(np.ceil((a[some][k] - s) / d), 1, n[k]), k)
+
+    every = np.arange(len(some))
+    best, strength = np.full(len(some), np.inf), np.zeros(len(some))
+    for part in STRENGTHS:
+        s = np.maximum(a[some] * part, 1e-9) - d
+        cost = log_gamma(s + n) - log_gamma(s + 1) + most(s, every)
+        strength = np.where(cost < best, s, strength)
+        best = np.minimum(cost, best)
+    top = most(strength, every)
+    live, tries = every, 0
+    for k in np.flatnonzero(np.minimum(a[some] / d, n**d) > MANY).tolist():
+        drawn = window_draw(int(c[some[k]]), float(a[some[k]]), d, rng)
+        if drawn:
+            out[some[k]] = drawn
+            live = live[live != k]
+    while len(live) and tries < TRIES:
+        copies = max(1, min(TRIES - tries, WIDTH // len(live), 2 * tries))
+        k = np.tile(live, copies)
+        drawn = tables_found(c[some][k], d, strength[k], rng)
+        good = np.log(rng.random(len(k))) < weight(strength[k], drawn, k) - top[k]
+        first, at = np.unique(k[good], return_index=True)
+        out[some[first]] = drawn[good][at]
+        live = np.setdiff1d(live, first)
+        tries += copies
+    return out
+
+
+def reseated(c: np.ndarray, t: np.ndarray, base: np.ndarray, d: float, theta: float, rng) -> np.ndarray:
+    """A Gibbs sweep over all customers of a restaurant: new numbers of tables of its dishes. Given a gamma variable that
+    stands for the number of all tables, the dishes are independent. Without t the customers are seated first."""
+    if not len(t):
+        # strength of a start at which each dish has one table
+        return table_counts(c, np.ones(len(c), np.int64), (theta + d * len(c)) * base, d, rng)
+    return table_counts(c, t, d * rng.gamma(theta / d + t.sum()) * base, d, rng)
+
+
 class Restaurant:
-    """One restaurant's seating: tables of one dish stand together."""
+    """One restaurant's seating, customer by customer: what table_counts() is held against. Tables of one dish stand together."""
 
     def __init__(self, customers: np.ndarray, tables_of: np.ndarray, sizes: np.ndarray):
         self.c, self.t, self.sizes = customers.astype(np.int64), tables_of.astype(np.int64), sizes.astype(np.int64)
 
     @classmethod
     def seated(cls, customers: np.ndarray, base: np.ndarray, d: float, theta: float, rng) -> Restaurant:
-        """A first seating: some customers one after the other, the rest in proportion to the tables they found."""
+        """A first seating: all customers choose one after the other whether to open a table; sizes are at random."""
         n = len(customers)
         t = np.ones(n, np.int64)
-        for i in range(1, 24):
+        for i in range(1, int(customers.max(initial=1))):
             more = customers > i
             new = (theta + d * t.sum()) * base
             t += more & (rng.random(n) * (new + i - d * t) < new)
@@ -242,7 +357,7 @@ class Restaurant:
             self.t[fresh] += 1
 
 
-STATE = "u int, w array<int>, c array<long>, t array<int>, sizes array<long>, tsum array<long>"
+STATE = "u int, w array<int>, c array<long>, t array<long>, tsum array<long>"
 
 
 def as_lists(values: list[np.ndarray], kind) -> pa.Array:
@@ -256,17 +371,14 @@ def sweeper(shared, d: float, theta: float, sweep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = shared.value
         for batch in batches:
-            rows = [[] for _ in range(6)]
+            rows = [[] for _ in range(5)]
             for i in range(batch.num_rows):
                 u = batch.column(0)[i].as_py()
-                w, c, t, sizes, tsum = (np.asarray(batch.column(k)[i].values) for k in range(1, 6))
-                rng = np.random.default_rng([u, sweep, 77])
-                p = base[w]
-                room = Restaurant(c, t, sizes) if len(t) else Restaurant.seated(c, p, d, theta, rng)
-                room.sweep(p, d, theta, MOVES, rng)
-                for k, x in enumerate((u, w, c, room.t, room.sizes, room.t * (sweep > 0) + (tsum if len(tsum) else 0))):
+                w, c, t, tsum = (np.asarray(batch.column(k)[i].values) for k in range(1, 5))
+                t = reseated(c, t, base[w], d, theta, np.random.default_rng([u, sweep, 77]))
+                for k, x in enumerate((u, w, c, t, t * (sweep > 0) + (tsum if len(tsum) else 0))):
                     rows[k].append(x)
-            kinds = (None, pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            kinds = (None, pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[as_lists(r, k) for r, k in zip(rows[1:], kinds[1:])]], names=[x.split()[0] for x in STATE.split(", ")])
 
     return run
@@ -277,10 +389,10 @@ def sampled(spark: SparkSession, pairs: DataFrame, dishes: int) -> np.ndarray:
     # at most dishes**2 counts, whatever the corpus
     rows = pairs.groupBy((F.expr(f"key div {dishes}")).cast("int").alias("u")).agg(F.array_sort(F.collect_list(F.struct((F.col("key") % dishes).cast("int").alias("w"), F.col("n").alias("c")))).alias("x"))
     none = F.array().cast("array<long>")
-    state = tables.stored(rows.select("u", F.col("x.w").alias("w"), F.col("x.c").alias("c"), F.array().cast("array<int>").alias("t"), none.alias("sizes"), none.alias("tsum")))
+    state = tables.stored(rows.select("u", F.col("x.w").alias("w"), F.col("x.c").alias("c"), none.alias("t"), none.alias("tsum")))
     d = discount_of(pairs)
     theta = CONCENTRATION
-    base, rng, parent = np.full(dishes, 1 / dishes), np.random.default_rng(78), None
+    base, rng, parent = np.full(dishes, 1 / dishes), np.random.default_rng(78), np.zeros(dishes, np.int64)
     second = np.zeros((dishes, dishes))
     kept = 0
     for sweep in range(SWEEPS):
@@ -292,11 +404,10 @@ def sampled(spark: SparkSession, pairs: DataFrame, dishes: int) -> np.ndarray:
         # the parent: its customers are the tables of all restaurants
         have = np.flatnonzero(served)
         flat = np.full(len(have), 1 / dishes)
-        parent = Restaurant.seated(served[have], flat, d, theta, rng)
-        parent.sweep(flat, d, theta, 4 * MOVES, rng)
-        top = np.zeros(dishes)
-        top[have] = parent.c - d * parent.t
-        base = (top + (theta + d * parent.t.sum()) / dishes) / (theta + served.sum())
+        # they are reseated from their last number of tables; a dish that has more or fewer customers now keeps what it can
+        parent[have] = reseated(served[have], np.clip(parent[have], 1, served[have]) if sweep else parent[:0], flat, d, theta, rng)
+        parent[served == 0] = 0
+        base = (served - d * parent + (theta + d * parent.sum()) / dishes) / (theta + served.sum())
         if sweep:
             share = np.ones(dishes)
             for r in sums:

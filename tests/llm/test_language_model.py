@@ -117,3 +117,42 @@ def test_gibbs_moves_sample_the_posterior():
         room.sweep(base, d, theta, 1, rng)
         seen.append(room.t[0])
     assert abs(np.mean(seen[100:]) - want) < 0.06
+
+
+def exact_tables(c, a, d):
+    """Probabilities of the numbers of tables of c customers, in proportion to a**t S(c, t), customer by customer."""
+    p, t = np.eye(1, c + 1, 1)[0], np.arange(c + 1)
+    for n in range(1, c):
+        q = np.maximum(n - d * t, 0) * p
+        q[1:] += a * p[:-1]
+        p = q / q.sum()
+    return p
+
+
+@pytest.mark.parametrize("c,a,d", [(4, 0.3, 0.4), (30, 5.0, 0.7), (100, 0.01, 0.8), (100, 60.0, 0.6), (5000, 30.0, 0.7), (3000, 40.0, 0.85), (20000, 60.0, 0.6)])
+def test_draws_of_table_counts_are_exact(c, a, d):
+    p = exact_tables(c, a, d)
+    mean = (np.arange(c + 1) * p).sum()
+    spread = np.sqrt((np.arange(c + 1) ** 2 * p).sum() - mean**2)
+    n = 4000
+    t = lm.table_counts(np.full(n, c), np.full(n, -1), np.full(n, a), d, np.random.default_rng(10))
+    assert t.min() >= 1 and t.max() <= c
+    assert abs(t.mean() - mean) < 4 * spread / math.sqrt(n) and abs(t.std() / spread - 1) < 0.08
+
+
+def test_sweeps_of_all_customers_sample_the_posterior():
+    """Two dishes of one restaurant: the mean numbers of tables against sums over all pairs of them, with a large dish."""
+    d, theta, base, c = 0.4, 1.5, np.array([0.3, 0.7]), np.array([400, 5])
+    with np.errstate(divide="ignore"):
+        log_s = [np.log(exact_tables(n, 1.0, d)) for n in c]
+    t = [np.arange(n + 1) for n in c]
+    total = t[0][:, None] + t[1][None]
+    up = np.concatenate([[0], np.cumsum(np.log(theta + d * np.arange(total.max())))])
+    w = up[total] + (log_s[0] + t[0] * np.log(base[0]))[:, None] + (log_s[1] + t[1] * np.log(base[1]))[None]
+    w = np.exp(w - w.max()) * (t[0] > 0)[:, None] * (t[1] > 0)[None]
+    want = np.array([(w * x).sum() / w.sum() for x in (t[0][:, None], t[1][None])])
+    rng, now, seen = np.random.default_rng(11), np.zeros(0, np.int64), []
+    for _ in range(4000):
+        now = lm.reseated(c, now, base, d, theta, rng)
+        seen.append(now)
+    assert np.allclose(np.mean(seen[100:], axis=0), want, rtol=0.04)

@@ -23,7 +23,7 @@ from querent.llm import samples, tables
 from querent.llm.quality import platt
 from querent.llm.textbatch import IS_ALNUM, LOWER, byte_sums, expand, mix, owner, pieces, span_hash, words
 
-#: examples in the index, at most; near copies among them count once
+#: examples in the index, at most; equal texts of one label among them count once
 EXAMPLES = 8192
 TERMS = 512
 MIN_TEXTS = 8
@@ -41,12 +41,6 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def hashed_words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    buf = LOWER[raw]
-    starts, ends, of = words(buf, off, IS_ALNUM)
-    return span_hash(byte_sums(buf), starts, ends), of
-
-
 def grams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words and beginnings of words, and the text of each."""
     buf = LOWER[raw]
@@ -61,22 +55,9 @@ def grams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(texts)
 
 
-def signatures(sample: DataFrame) -> DataFrame:
-    """doc_id, label and the least hash of three words in a row, which near copies mostly share."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, buf, off in pieces(batch.column(1)):
-                h, of = hashed_words(buf, off)
-                sig = []
-                for i in range(hi - lo):
-                    w = h[of[i] : of[i + 1]]
-                    with np.errstate(over="ignore"):
-                        three = mix(w[:-2] * np.uint64(3) + w[1:-1] * np.uint64(5) + w[2:] * np.uint64(7)) if len(w) > 2 else w
-                    sig.append(int(three.min().view(np.int64)) if len(three) else 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(2)[lo:hi], pa.array(sig, pa.int64())], names=["doc_id", "label", "sig"])
-
-    return sample.mapInArrow(run, "doc_id long, label int, sig long")
+def distinct_examples(sample: DataFrame) -> DataFrame:
+    """doc_id and label of the examples, equal texts of one label once: the smallest doc_id stays."""
+    return sample.groupBy(F.xxhash64("text").alias("sig"), "label").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "label")
 
 
 def term_counts(sample: DataFrame) -> DataFrame:
@@ -246,8 +227,7 @@ class Index:
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
     sample = samples.labelled(docs, labels, "toxic", examples, ~held_out())
-    marked = signatures(sample).orderBy("doc_id", "sig").dropDuplicates(["sig"])
-    marked = tables.stored(marked)
+    marked = tables.stored(distinct_examples(sample))
     sizes = marked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")).first()
     share = sizes.toxic / max(1, sizes.n)
     if not 0 < share < 1:

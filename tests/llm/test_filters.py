@@ -85,3 +85,14 @@ def test_block_max_search_is_exact():
         every = np.sort(vectors @ vectors[i])[::-1]
         assert np.allclose(cosine, every[: len(cosine)]) and len(cosine) == min(32, (every > 0).sum())
         assert np.allclose(cosine, vectors[index.ids[near]] @ vectors[i])
+
+
+def test_examples_that_share_a_passage_all_stay(spark):
+    passage = "the same three words and more of them stand in every text here "
+    rows = [(i, f"{passage * 3} own{i} words{i} follow{i}", i % 2) for i in range(40)] + [(90, "one text", 1), (80, "one text", 1), (70, "one text", 0), (60, "", 1), (61, " ", 0)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], 0, r[2]) for r in rows], "doc_id long, quality int, toxic int")
+    index = toxicity.train(spark, docs, labels)
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    want = sorted({(t, y): min(i for i, u, z in learned if (u, z) == (t, y)) for _, t, y in learned}.values())
+    assert sorted(index.ids.tolist()) == want

@@ -223,7 +223,6 @@ def broadcast_blocks(spark: SparkSession, benchmark: DataFrame) -> list:
 
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, items and spans of every row of docs(doc_id, text); spans are byte ranges of its text."""
-    tables.small_batches(spark)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s.words)
     return hits(tables.texts(docs), broadcast_blocks(spark, benchmark)).select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "spans")
 
@@ -252,7 +251,6 @@ FROM d LEFT JOIN h USING (r) LEFT JOIN m USING (r)
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Hit words go from their texts, with what stands between the words of a span; every row and column stays, n_chars counts anew."""
-    tables.small_batches(spark)
     blocks = broadcast_blocks(spark, tables.table(spark, sf_dir, "benchmark"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -162,7 +162,6 @@ def main_text(page: str | None) -> str:
 
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """page_id, url and the main text of every row of pages(page_id, url, html)."""
-    tables.small_batches(spark, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -98,7 +98,6 @@ def plan(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[list[tuple[
 
 def pack(spark: SparkSession, docs: DataFrame, path: str, end_id: int = END_ID, tiers: tuple[int, ...] = TIERS) -> DataFrame:
     """Pieces of every row of docs(doc_id, text), with their ids as little-endian unsigned 32-bit integers."""
-    tables.small_batches(spark)
     docs = tables.texts(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -179,7 +179,6 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """The rule columns, the model's probability of good quality and the verdict of every row of docs(doc_id, text)."""
-    tables.small_batches(spark)
     model = spark.sparkContext.broadcast(fit(features(samples.labelled(docs, labels, "quality", train_rows)).collect()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -118,7 +118,6 @@ def tiled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def with_fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, uid (equal for equal rows) and fp (the fingerprint's 64 bits as a long) of every row."""
-    tables.small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,16 +160,14 @@ def links(distinct: DataFrame) -> DataFrame:
             yield found(key, x)
 
     keyed = distinct.select(bucket_keys().alias("key"), "fp")
-    return keyed.repartition(tables.read_part(distinct), "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, uid, fp, root (a fingerprint of the group) and component_id of every row of docs(doc_id, text)."""
     marked = tables.stored(with_fingerprints(spark, docs))
     distinct = tables.stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
     roots = components(links(distinct))
-    tables.small_batches(spark)
     classes = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
     least = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = classes.join(least, "root").select(F.col("fp").alias("class_fp"), "root", "component_id")

@@ -273,7 +273,7 @@ def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def exchange(rows: DataFrame) -> DataFrame:
-    return rows.repartition(tables.read_part(rows), "key").sortWithinPartitions("key", "f").mapInArrow(resolve, FOUND)
+    return rows.repartition("key").sortWithinPartitions("key", "f").mapInArrow(resolve, FOUND)
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -320,7 +320,6 @@ def without_spans(raw: bytes, spans: list) -> tuple[bytes, int, int]:
 
 def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every row of docs(doc_id, text)."""
-    tables.small_batches(spark)
     docs = tables.texts(docs).select(F.xxhash64("doc_id", "text").alias("uid"), "text", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,7 +346,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose their repeated strings (and what is left of a character that was cut); every row and column stays, n_chars counts anew."""
-    tables.small_batches(spark)
     keyed = docs.withColumn("__uid", F.xxhash64("doc_id", "text"))
     spans = repeated(spark, keyed.select(F.col("__uid").alias("uid"), F.col("text").cast("string"))).select(F.col("uid").alias("__key"), F.col("spans").alias("__spans"))
     joined = keyed.join(spans, F.col("__uid") == F.col("__key"), "left").drop("__uid", "__key")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querent.llm.textbatch import ARROW_ROWS
+_folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,15 +24,32 @@ def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return df.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Python workers get a few megabytes of text at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def spare_name(df: DataFrame, name: str) -> str:
+    """name, made longer until df has no such column."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+@contextlib.contextmanager
+def batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows for the actions inside; the session's setting is put back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; that setting gets a temporary folder only where it is unset (local tests)."""
+    """A new folder below spark.checkpoint.dir; where that is unset, a local master gets a temporary folder and a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = Path(tempfile.mkdtemp(prefix="querent-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/querent-{uuid.uuid4().hex}"
@@ -40,9 +60,16 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def read_part(df: DataFrame) -> int:
-    """Shuffle partitions of the session, for explicit repartitions."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = spark.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    return out
+
+
+def discard(spark: SparkSession, *frames: DataFrame) -> None:
+    """Removes the folders of stored tables that are not needed any more, and lets Spark drop the shuffle files behind them."""
+    jvm = spark.sparkContext._jvm
+    for df in frames:
+        if path := _folders.pop(df, None):
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    jvm.System.gc()

@@ -12,13 +12,11 @@ import numpy as np
 import pyarrow as pa
 
 PIECE_BYTES = 1 << 20
-ARROW_ROWS = 2000
-_rng = np.random.default_rng(20240917)
-BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 2**64)
-_POW = np.ones(1, np.uint64)
-_INV = np.ones(1, np.uint64)
+PRIME = np.uint64(2**31 - 1)
+#: two bases drawn at random, once; spans of n bytes that differ collide with a chance of about (n / PRIME)**2
+BASES = (1_348_267_193, 1_891_406_771)
+BLOCK = 1 << 22
+_powers = [np.ones(1, np.uint32) for _ in range(4)]  # of both bases and of their inverses
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -29,15 +27,16 @@ IS_ALNUM = np.zeros(256, bool)  # bytes of lower-case words [^\x00-\x2F\x3A-\x60
 IS_ALNUM[48:58] = IS_ALNUM[97:123] = IS_ALNUM[128:] = True
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """At least n powers of the hash base and of its inverse modulo 2**64."""
-    global _POW, _INV
-    if len(_POW) < n:
-        with np.errstate(over="ignore"):
-            size = 1 << int(n - 1).bit_length()
-            _POW = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, _BASE, np.uint64)]), dtype=np.uint64)
-            _INV = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, _BASE_INV, np.uint64)]), dtype=np.uint64)
-    return _POW, _INV
+def powers(n: int) -> list[np.ndarray]:
+    """At least n powers modulo PRIME: of both bases, then of their inverses."""
+    if len(_powers[0]) < n:
+        p = int(PRIME)
+        for k, base in enumerate((*BASES, *(pow(b, -1, p) for b in BASES))):
+            out = _powers[k]
+            while len(out) < n:
+                out = np.concatenate([out, (out.astype(np.uint64) * np.uint64(pow(base, len(out), p)) % PRIME).astype(np.uint32)])
+            _powers[k] = out
+    return _powers
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -48,23 +47,45 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
-def prefix(values: np.ndarray) -> np.ndarray:
-    """Running sums of a polynomial hash over uint64 values, for span_hash()."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum(values * powers(max(1, len(values)))[0][: len(values)], out=out[1:])
+def _running(values: np.ndarray, power: np.ndarray, small: bool) -> np.ndarray:
+    """Sums of (values + 1) times powers, by blocks; those of small values need not be reduced within a block."""
+    out = np.empty(len(values) + 1, np.uint64)
+    out[0] = 0
+    for lo in range(0, len(values), BLOCK):
+        block = values[lo : lo + BLOCK].astype(np.uint64)
+        block += np.uint64(1)
+        block *= power[lo : lo + len(block)]
+        if not small:
+            block %= PRIME
+        if lo:
+            block[0] += out[lo] % PRIME
+        np.cumsum(block, out=out[lo + 1 : lo + 1 + len(block)])
     return out
 
 
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans [start, end) of the values behind sums; equal spans have equal hashes."""
-    inv = powers(len(sums))[1]
+def prefix(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of two polynomial hashes over uint64 values, for span_hash()."""
+    power = powers(max(1, len(values)))
+    return _running(values % PRIME, power[0], False), _running(mix(values) % PRIME, power[1], False)
+
+
+def span_hash(sums: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans [start, end) of the values behind sums; equal spans have equal hashes.
+
+    Both polynomials are over a prime field: modulo a power of two, some strings would collide for every base.
+    """
+    inverse = powers(len(sums[0]))[2:]
+    if len(sums[0]) <= BLOCK:
+        a, b = ((s[end] - s[start]) % PRIME * i[start] % PRIME for s, i in zip(sums, inverse))
+    else:  # the sums start anew, reduced, in each block
+        a, b = ((s[end] % PRIME + PRIME - s[start] % PRIME) % PRIME * i[start] % PRIME for s, i in zip(sums, inverse))
     with np.errstate(over="ignore"):
-        return mix((sums[end] - sums[start]) * inv[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return mix((a << np.uint64(31) | b) + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def byte_sums(buf: np.ndarray) -> np.ndarray:
-    return prefix(BYTE_VALUE[buf])
+def byte_sums(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    power = powers(max(1, len(buf)))
+    return _running(buf, power[0], True), _running(buf, power[1], True)
 
 
 def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -83,6 +104,19 @@ def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(bufs[2], np.uint8)[off[0] : off[-1]], off - off[0]
 
 
+def joined(batches: Iterator[pa.RecordBatch], column: int, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Small batches put together until their texts have about size bytes."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.column(column).nbytes
+        if n >= size:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def pieces(col: pa.Array, size: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cuts a column between rows: (first row, row after the last, bytes, offsets) of about size bytes each."""
     buf, off = column_bytes(col)

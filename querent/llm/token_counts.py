@@ -172,7 +172,6 @@ def frequent(spark: SparkSession, docs: DataFrame, path: str, entries: int = TAB
 
 def token_counts(spark: SparkSession, docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row of docs(doc_id, text)."""
-    tables.small_batches(spark)
     docs = tables.texts(docs)
     shared = spark.sparkContext.broadcast(frequent(spark, docs, path))
 

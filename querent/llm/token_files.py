@@ -129,10 +129,9 @@ ARROW_SHARDS = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("base",
 
 def write_shards(spark: SparkSession, docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """Encodes docs(doc_id, text) in ascending order into the shard table; returns it as read back."""
-    tables.small_batches(spark)
     docs = tables.texts(docs).withColumn("tie", F.xxhash64("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc_nulls_first()]
-    ordered = docs.repartitionByRange(tables.read_part(docs), *order).sortWithinPartitions(*order).drop("tie")
+    ordered = docs.repartitionByRange(*order).sortWithinPartitions(*order).drop("tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part, shard, base = word_bpe(path), TaskContext.get().partitionId(), 0, 0

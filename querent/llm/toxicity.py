@@ -264,7 +264,6 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, examples: int
 
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, toxic_at: float = TOXIC_AT) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence of every row of docs(doc_id, text)."""
-    tables.small_batches(spark)
     shared = spark.sparkContext.broadcast(train(spark, docs, labels))
     return tables.texts(docs).withColumn("held_out", held_out()).mapInArrow(scorer(shared, toxic_at), "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,toxic:int,cosine:double>>")
 
@@ -288,7 +287,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that are predicted toxic go; all columns stay as they are."""
-    tables.small_batches(spark)
     shared = spark.sparkContext.broadcast(train(spark, docs, tables.table(spark, sf_dir, "labels")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,18 +39,17 @@ from querent.llm.textbatch import IS_PLAIN, LOWER, byte_sums, expand, joined, mi
 FREQUENT = 1 << 17
 SAMPLE = 16
 #: training tokens of a group of restaurants, and of a context in one group, about
-GROUP_TOKENS = 1 << 22
+GROUP_TOKENS = 1 << 21
 CONTEXT_TOKENS = 1 << 18
 #: pairs in the broadcast table, at most
 TOP_PAIRS = 1 << 20
-#: sweeps, how many of the last are averaged, and draws of a group within a sweep
+#: sweeps, and how many of the last are averaged
 SWEEPS = 3
 KEPT = 2
-INNER = 2
 #: strengths of the restaurants and of their parent
 STRENGTH = 5.0
 PARENT_STRENGTH = 5.0
-FLUSH_TOKENS = 1 << 22
+FLUSH_TOKENS = 1 << 21
 END = np.uint64(0xE4D0F7E474E4D001)
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -263,10 +262,9 @@ def seated(shared, sweep: int, discount: float, keep: int):
         t, rng = seats[-1], np.random.default_rng([group, sweep, 77])
         where, of = np.searchsorted(hot.codes, u), np.repeat(np.arange(len(u)), runs)
         wide = hot.found(u, where)
-        for _ in range(INNER if len(c) else 0):
-            weight = new_table_weight(ones + sums_over(t, runs), discount, STRENGTH, rng)
-            weight[wide] = hot.weight[where[wide]]
-            t = table_counts(c, t, np.maximum(weight[of] * base, 1e-300), discount, rng)
+        weight = new_table_weight(ones + sums_over(t, runs), discount, STRENGTH, rng)
+        weight[wide] = hot.weight[where[wide]]
+        t = table_counts(c, t, np.maximum(weight[of] * base, 1e-300), discount, rng)
         seats = [*(seats if keep else []), t]
         yield packed.record([(WORK, group, group, pack(*x[:11], *seats))])
         for row in asked(codes, group, w, np.bincount(at, weights=t, minlength=len(w)).astype(np.int64)):

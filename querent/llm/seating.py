@@ -11,7 +11,7 @@ TRIES = 4096
 WIDTH = 1 << 16
 MANY = 32
 #: customers of a dish up to which the distribution of its tables is tabled
-TABLED = 48
+TABLED = 1024
 #: strengths that are tried, as shares of the weight of a new table
 STRENGTHS = tuple(2.0**-k for k in range(12)) + (2.0, 4.0)
 
@@ -90,9 +90,17 @@ def _tabled(c: np.ndarray, a: np.ndarray, d: float, rng, out: np.ndarray) -> Non
     for n, lo, hi in zip(range(2, TABLED + 1), edge, edge[1:]):
         for at in range(lo, hi, WIDTH):
             rows = order[at : min(at + WIDTH, hi)]
-            p = log_s[n, 1 : n + 1] + np.log(a[rows])[:, None] * np.arange(1, n + 1)
-            p = np.cumsum(np.exp(p - p.max(1, keepdims=True)), axis=1)
-            out[rows] = 1 + np.minimum((u[rows, None] * p[:, -1:] >= p).sum(1), n - 1)
+            x, v = a[rows], u[rows]
+            if n == 2:
+                out[rows] = 1 + (v * (1 - d + x) >= 1 - d)
+            elif n == 3:
+                one, two = (1 - d) * (2 - d), 3 * (1 - d) * x
+                v = v * (one + two + x * x)
+                out[rows] = 1 + (v >= one) + (v >= one + two)
+            else:
+                p = log_s[n, 1 : n + 1] + np.log(x)[:, None] * np.arange(1, n + 1)
+                p = np.cumsum(np.exp(p - p.max(1, keepdims=True)), axis=1)
+                out[rows] = 1 + np.minimum((v[:, None] * p[:, -1:] >= p).sum(1), n - 1)
 
 
 def table_counts(c: np.ndarray, t: np.ndarray, a: np.ndarray, d: float, rng) -> np.ndarray:

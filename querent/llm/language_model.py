@@ -49,6 +49,7 @@ KEPT = 2
 #: strengths of the restaurants and of their parent
 STRENGTH = 5.0
 PARENT_STRENGTH = 5.0
+#: training tokens that are counted at once; half as many are scored at once
 FLUSH_TOKENS = 1 << 21
 END = np.uint64(0xE4D0F7E474E4D001)
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -129,6 +130,7 @@ def numbered(codes: Codes, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, n
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     ids = place[np.asarray(coded.indices)]
+    del coded
     code = code[order]
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
@@ -154,8 +156,8 @@ def by_group(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield g, order[lo : lo + n]
 
 
-def flushed(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
-    """Tokens and offsets of some million tokens of texts at a time, and the slices of the batches that they come from."""
+def flushed(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
+    """Tokens and offsets of about so many tokens of texts at a time, and the slices of the batches that they come from."""
     held, at, of = [], [0], []
     for batch in joined(batches, column):
         for lo, hi, buf, off in pieces(batch.column(column)):
@@ -163,9 +165,10 @@ def flushed(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[np
             held.append(h)
             of.append(batch.slice(lo, hi - lo))
             at.extend((o[1:] + at[-1]).tolist())
-            if at[-1] >= FLUSH_TOKENS:
+            if at[-1] >= size:
                 yield np.concatenate(held), np.array(at), of
                 held, at, of = [], [0], []
+                pa.default_memory_pool().release_unused()
     if held:
         yield np.concatenate(held), np.array(at), of
 
@@ -175,9 +178,13 @@ def pair_counts(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: Codes = shared.value
-        for h, at, _ in flushed(batches, 0):
+        for h, at, _ in flushed(batches, 0, FLUSH_TOKENS):
             code, ids, before = numbered(codes, h, at)
-            pair = np.sort(before << 32 | ids)
+            before <<= 32
+            before |= ids
+            del h, ids
+            pair = before
+            pair.sort()
             first = starts_of(pair)
             n = np.diff(np.append(first, len(pair)))
             u, w = code[pair[first] >> 32], code[pair[first] & 0xFFFFFFFF]
@@ -470,7 +477,7 @@ def entries(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         log_count = np.log10(model.counts + 0.5)
-        for h, at, slices in flushed(batches, 1):
+        for h, at, slices in flushed(batches, 1, FLUSH_TOKENS // 2):
             codes, n = model.codes, len(at) - 1
             code, ids, before = numbered(codes, h, at)
             doc, own = owner(at), code[ids]
@@ -478,9 +485,12 @@ def entries(shared):
             rank = np.where(frequent, own, 0).astype(np.int64)
             base = np.bincount(doc, weights=np.where(frequent, log_count[rank] if len(log_count) else 0.0, 0.0), minlength=n)
             known = np.bincount(doc, weights=frequent & (model.counts[rank] > 0) if len(log_count) else frequent, minlength=n).astype(np.int64)
+            del h, own, frequent, rank
             key = before << 32 | ids
+            del before, ids
             order = np.argsort(key)
             pair, count = run_lengths(key[order])
+            del key
             u, w = code[pair >> 32], code[pair & 0xFFFFFFFF]
             both = u << np.uint64(32) | w
             place = np.minimum(np.searchsorted(model.top, both), max(0, len(model.top) - 1))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 SCHEMA = "kind int, target long, source long, payload binary"
 #: rows of an Arrow batch; payloads are up to some ten megabytes
-BATCH_ROWS = 16
+BATCH_ROWS = 8
 Row = tuple[int, int, int, bytes]
 RARE = np.uint64(1 << 63)
 

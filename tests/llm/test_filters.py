@@ -9,6 +9,8 @@ import pytest
 
 from querent.llm import quality, toxicity
 
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
 SF = "/root/testdata/sf0.01"
 
 
@@ -68,23 +70,96 @@ def test_toxicity_without_labels(spark, edges):
     assert toxicity.toxicity(spark, edges.limit(0), labels).count() == 0
 
 
-def test_block_max_search_is_exact():
+def brute_terms(text):
+    """Words and their beginnings, in bytes."""
+    w = [x.encode() for x in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOWER))]
+    return Counter([(0, x) for x in w] + [(k, x[:k]) for k in toxicity.PREFIXES for x in w if len(x) >= k])
+
+
+def test_nearest_examples_by_cosine_of_whole_texts(spark):
+    """Against vectors made from words themselves: document frequencies of all texts, weights by labels, every example compared."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    toxic = {r.doc_id: r.toxic for r in labels.collect() if r.doc_id in text and zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    distinct = {}
+    for d in sorted(toxic, reverse=True):
+        distinct[text[d], toxic[d]] = d
+    ids = sorted(distinct.values())
+    counts = {d: brute_terms(t) for d, t in text.items()}
+    found = Counter(t for c in counts.values() for t in c)
+    held, bad = Counter(t for d in ids for t in counts[d]), Counter(t for d in ids if toxic[d] for t in counts[d])
+    share = sum(toxic[d] for d in ids) / len(ids)
+
+    def unit(c):
+        w = {}
+        for t, n in c.items():
+            if t in held:
+                clear = abs(bad[t] - held[t] * share) / np.sqrt(held[t] * share * (1 - share) + 1)
+                w[t] = (1 + np.log(n)) * (np.log((1 + len(text)) / (1 + found[t])) + 1) * (toxicity.FLOOR + (1 - toxicity.FLOOR) * min(1, clear / toxicity.CLEAR))
+        norm = np.sqrt(sum(x * x for x in w.values()))
+        return {t: x / norm for t, x in w.items()}
+
+    vectors = {d: unit(counts[d]) for d in ids}
+    index = toxicity.train(spark, docs, labels)
+    assert sorted(index.ids.tolist()) == ids and index.blocks > 1
+    for d, t in text.items():
+        raw = np.frombuffer(t.encode(), np.uint8)
+        q = unit(counts[d])
+        want = sorted((c for c in (sum(x * v.get(t, 0.0) for t, x in q.items()) for v in vectors.values()) if c > 1e-9), reverse=True)[: toxicity.NEIGHBOURS]
+        got = [(near, cosine) for _, near, cosine in index.neighbours(raw, np.array([0, len(raw)]))]
+        assert bool(got) == bool(want)
+        if got:
+            assert np.allclose(got[0][1], want, atol=1e-8)
+            assert np.allclose([sum(x * vectors[int(index.ids[e])].get(t, 0.0) for t, x in q.items()) for e in got[0][0]], got[0][1], atol=1e-8)
+
+
+def test_scores_tell_texts_apart(spark):
+    """Also where few rows are labelled; equal texts score alike, however the table is cut."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    out = [{r.doc_id: r.score for r in toxicity.toxicity(spark, docs.repartition(n), labels).collect()} for n in (1, 7)]
+    assert out[0] == out[1]
+    by_score = {}
+    words = {r.doc_id: tuple(sorted(brute_terms(r.text or "").items())) for r in docs.collect()}
+    for d, s in out[0].items():
+        by_score.setdefault(round(s, 12), set()).add(words[d])
+    assert len(by_score) > 0.97 * len(set(words.values()))
+
+
+def test_block_max_search_is_exact(monkeypatch):
     rng = np.random.default_rng(3)
-    chosen = [(int(x), 1) for x in rng.integers(-(2**62), 2**62, 40)]
-    index = toxicity.Index(toxicity.Terms(chosen), np.ones(40))
-    rows = [np.sort(rng.choice(40, rng.integers(1, 9), replace=False)) for _ in range(700)]
-    vectors = np.zeros((700, 40))
-    for i, r in enumerate(rows):
-        vectors[i, r] = rng.random(len(r)) + 0.1
-    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
-    d, t = np.nonzero(vectors)
-    index.build(t, d, vectors[d, t], (rng.random(700) < 0.3).astype(int), np.arange(700))
-    for i in range(0, 700, 7):
-        q = np.flatnonzero(vectors[i])
-        near, cosine = index.nearest(q, vectors[i, q])
-        every = np.sort(vectors @ vectors[i])[::-1]
-        assert np.allclose(cosine, every[: len(cosine)]) and len(cosine) == min(32, (every > 0).sum())
-        assert np.allclose(cosine, vectors[index.ids[near]] @ vectors[i])
+    for dense in (4, 64, 10**9):  # whole rows for many, few and no terms
+        monkeypatch.setattr(toxicity, "DENSE", dense)
+        index = toxicity.Index(toxicity.Terms(np.arange(400, dtype=np.uint64)), np.ones(400), (rng.random(900) < 0.3).astype(int), np.arange(900))
+        vectors = np.zeros((900, 400))
+        for i in range(900):
+            r = np.unique(rng.zipf(1.3, 30) % 400)
+            vectors[i, r] = rng.random(len(r)) + 0.1
+        vectors[800:820] = vectors[0]  # ties
+        vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+        text, term = np.nonzero(vectors)
+        index.build(text, term, vectors[text, term])
+        for i in range(0, 900, 9):
+            q = np.flatnonzero(vectors[i])
+            part = index.first_parts(np.zeros(len(q), np.int64), q, vectors[i, q], 1)[0]
+            near, cosine = index.nearest(part, q, vectors[i, q], skip=5)
+            every = np.sort(np.delete(vectors @ vectors[i], index.ids[5]))[::-1]
+            assert np.allclose(cosine, every[: len(cosine)], atol=1e-8) and len(cosine) == min(32, (every > 1e-9).sum())
+            assert np.allclose(cosine, vectors[index.ids[near]] @ vectors[i], atol=1e-8)
+            assert all(near[k] < near[k + 1] for k in range(len(near) - 1) if cosine[k] == cosine[k + 1])
+
+
+@pytest.mark.parametrize("labels", [[(1, 0, 1)], [(1, 0, 1), (3, 0, None), (None, 0, 1)], [(1, 0, 0), (3, 0, 0)], [(1, 0, 1), (3, 0, 0)]])
+def test_few_labels(spark, edges, labels):
+    got = toxicity.toxicity(spark, edges, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert len(got) == len(EDGES) and all(0 <= r.score <= 1 for r in got)
+    assert {type(r.score) for r in got} == {float}
+
+
+def test_bound_on_bytes_of_examples(spark):
+    docs = spark.createDataFrame([(i, f"own{i} " * 50) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    assert 0 < toxicity.examples_of(docs, labels, 1000, 5000).agg({"text": "count"}).first()[0] <= 5000 // 250
+    assert toxicity.examples_of(docs, labels, 7, 1 << 20).count() == 7
 
 
 def test_examples_that_share_a_passage_all_stay(spark):

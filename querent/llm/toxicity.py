@@ -17,6 +17,7 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -176,7 +177,6 @@ class Index:
     def __init__(self, terms: Terms, weight: np.ndarray, labels: np.ndarray, ids: np.ndarray):
         self.terms, self.weight, self.labels, self.ids = terms, weight, labels, ids
         self.prior = (labels.sum() + 0.5) / (len(labels) + 1)
-        self.slope, self.shift = 1.0, 0.0
 
     def vectors(self, text: np.ndarray, term: np.ndarray, n: np.ndarray, texts: int) -> np.ndarray:
         """Unit weights of the terms of each text."""
@@ -184,8 +184,25 @@ class Index:
         norm = np.sqrt(np.bincount(text, weights=w * w, minlength=texts))
         return w / norm[text] if len(w) else w
 
-    def build(self, text: np.ndarray, term: np.ndarray, w: np.ndarray) -> None:
+    def build(self, text: np.ndarray, term: np.ndarray, n: np.ndarray) -> None:
+        """From the terms of the examples and their numbers of occurrences, by example and term."""
+        self.given = self.labels, self.ids, text, term, n
+        self.place(text, term, self.vectors(text, term, n, len(self.labels)))
+
+    def __getstate__(self) -> bytes:
+        """What travels to workers, who build the index once."""
+        labels, ids, text, term, n = self.given
+        return packed.pack(self.terms.hashes, self.weight, labels, ids, np.bincount(text, minlength=len(labels)), term, n)
+
+    def __setstate__(self, state: bytes) -> None:
+        hashes, weight, labels, ids, many, term, n = packed.unpack(state)
+        self.__init__(Terms(hashes.astype(np.uint64)), weight, labels.astype(np.int64), ids.astype(np.int64))
+        self.build(np.repeat(np.arange(len(labels)), many.astype(np.int64)), term.astype(np.int64), n.astype(np.int64))
+
+    def place(self, text: np.ndarray, term: np.ndarray, w: np.ndarray) -> None:
         n = len(self.labels)
+        if not n:
+            return
         # examples with the same strongest term stand together, so that blocks' maxima are sharp
         strongest = np.full(n, len(self.weight))
         order = np.lexsort((w, text))
@@ -267,7 +284,7 @@ class Index:
             here = slice(edge[i], edge[i + 1])
             yield i, *self.nearest(part[i], term[here], w[here], -1 if skip is None else int(skip[i]))
 
-    def score(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    def score(self, raw: np.ndarray, off: np.ndarray, slope: float, shift: float) -> tuple[np.ndarray, pa.Array]:
         texts = len(off) - 1
         if not len(self.labels) or not 0 < self.labels.mean() < 1:
             value = float(self.labels.mean()) if len(self.labels) else 0.0
@@ -275,7 +292,7 @@ class Index:
         out, many, near_of, cosine_of = np.full(texts, float(self.labels.mean())), np.zeros(texts, np.int64), [], []
         for i, near, cosine in self.neighbours(raw, off):
             if len(near):
-                out[i] = 1 / (1 + np.exp(-np.clip(self.slope * self.vote(near, cosine) + self.shift, -30, 30)))
+                out[i] = 1 / (1 + np.exp(-np.clip(slope * self.vote(near, cosine) + shift, -30, 30)))
                 many[i] = min(EVIDENCE, len(near))
                 near_of.append(near[:EVIDENCE])
                 cosine_of.append(cosine[:EVIDENCE])
@@ -287,7 +304,17 @@ class Index:
 EVIDENCE_TYPE = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, size: int = EXAMPLE_BYTES) -> Index:
+@dataclass
+class Trained:
+    """The index, its broadcast, and the slope and intercept that calibrate its votes."""
+
+    index: Index
+    shared: object
+    slope: float = 1.0
+    shift: float = 0.0
+
+
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, size: int = EXAMPLE_BYTES) -> Trained:
     sample = tables.stored(examples_of(docs, labels, examples, size))
     rows = sorted(sample.mapInArrow(example_terms, "doc_id long, label int, hashes binary, counts binary").collect(), key=lambda r: (r.doc_id, r.label, bytes(r.hashes)))
     y = np.array([r.label for r in rows], np.int64)
@@ -295,22 +322,24 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, examples: int
     text = np.repeat(np.arange(len(rows)), [len(h) for h in hashes])
     n = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r.counts, np.int64) for r in rows]])
     known, term = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]), return_inverse=True)
-    ids, terms = np.array([r.doc_id for r in rows], np.int64), Terms(known)
-    if not len(rows) or not 0 < y.mean() < 1:
-        return Index(terms, np.ones(len(known)), y, ids)
-    found, texts = frequencies(docs, terms)
-    held, bad = np.bincount(term, minlength=len(known)), np.bincount(term, weights=y[text], minlength=len(known))
-    share = y.mean()
-    clear = np.abs(bad - held * share) / np.sqrt(held * share * (1 - share) + 1)
-    weight = (np.log((1 + texts) / (1 + found)) + 1) * (FLOOR + (1 - FLOOR) * np.minimum(1, clear / CLEAR))
-    index = Index(terms, weight, y, ids)
+    terms, weight = Terms(known), np.ones(len(known))
+    votes_differ = len(rows) > 0 and 0 < y.mean() < 1
+    if votes_differ:
+        found, texts = frequencies(docs, terms)
+        held, bad = np.bincount(term, minlength=len(known)), np.bincount(term, weights=y[text], minlength=len(known))
+        share = y.mean()
+        clear = np.abs(bad - held * share) / np.sqrt(held * share * (1 - share) + 1)
+        weight = (np.log((1 + texts) / (1 + found)) + 1) * (FLOOR + (1 - FLOOR) * np.minimum(1, clear / CLEAR))
+    index = Index(terms, weight, y, np.array([r.doc_id for r in rows], np.int64))
     order = np.lexsort((term, text))
-    text, term, n = text[order], term[order], n[order]
-    index.build(text, term, index.vectors(text, term, n, len(rows)))
-    # votes of each example's neighbours without itself
-    shared = spark.sparkContext.broadcast(index)
+    index.build(text[order], term[order], n[order])
+    out = Trained(index, spark.sparkContext.broadcast(index))
+    if not votes_differ:
+        return out
+    shared = out.shared
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Votes of each example's neighbours without itself."""
         here = shared.value
         place = {key: i for i, key in enumerate(zip(here.ids.tolist(), here.labels.tolist()))}
         for batch in batches:
@@ -323,24 +352,27 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, examples: int
     rows = sorted(sample.mapInArrow(votes, "doc_id long, vote double, label int").collect())
     z, y = np.array([r.vote for r in rows]), np.array([r.label for r in rows], float)
     if len(rows) and 0 < y.mean() < 1:
-        index.slope, index.shift = platt(z, y)
-    return index
+        out.slope, out.shift = platt(z, y)
+    return out
+
+
+def scores(model: Trained):
+    """A worker's function from texts to scores and evidence."""
+    shared, slope, shift = model.shared, model.slope, model.shift
+    return lambda raw, off: shared.value.score(raw, off, slope, shift)
 
 
-def scorer(shared, toxic_at: float):
+def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, toxic_at: float = TOXIC_AT) -> DataFrame:
+    """doc_id, held_out, score, predicted and evidence of every row of docs(doc_id, text)."""
+    score = scores(train(spark, docs, labels))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, buf, off in pieces(batch.column(1)):
-                p, why = shared.value.score(buf, off)
+                p, why = score(buf, off)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(2)[lo:hi], pa.array(p), pa.array((p >= toxic_at).astype(np.int32)), why], names=["doc_id", "held_out", "score", "predicted", "evidence"])
 
-    return run
-
-
-def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, toxic_at: float = TOXIC_AT) -> DataFrame:
-    """doc_id, held_out, score, predicted and evidence of every row of docs(doc_id, text)."""
-    shared = spark.sparkContext.broadcast(train(spark, docs, labels))
-    return tables.texts(docs).withColumn("held_out", held_out()).mapInArrow(scorer(shared, toxic_at), "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,toxic:int,cosine:double>>")
+    return tables.texts(docs).withColumn("held_out", held_out()).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,toxic:int,cosine:double>>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,12 +381,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that are predicted toxic go; all columns stay as they are."""
-    shared = spark.sparkContext.broadcast(train(spark, docs, tables.table(spark, sf_dir, "labels")))
+    score = scores(train(spark, docs, tables.table(spark, sf_dir, "labels")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, buf, off in pieces(batch.column("text")):
-                p, _ = shared.value.score(buf, off)
+                p, _ = score(buf, off)
                 yield batch.slice(lo, hi - lo).filter(pa.array(p < TOXIC_AT))
 
     return docs.mapInArrow(run, docs.schema)

@@ -100,7 +100,7 @@ def test_nearest_examples_by_cosine_of_whole_texts(spark):
         return {t: x / norm for t, x in w.items()}
 
     vectors = {d: unit(counts[d]) for d in ids}
-    index = toxicity.train(spark, docs, labels)
+    index = toxicity.train(spark, docs, labels).index
     assert sorted(index.ids.tolist()) == ids and index.blocks > 1
     for d, t in text.items():
         raw = np.frombuffer(t.encode(), np.uint8)
@@ -137,7 +137,7 @@ def test_block_max_search_is_exact(monkeypatch):
         vectors[800:820] = vectors[0]  # ties
         vectors /= np.linalg.norm(vectors, axis=1)[:, None]
         text, term = np.nonzero(vectors)
-        index.build(text, term, vectors[text, term])
+        index.place(text, term, vectors[text, term])
         for i in range(0, 900, 9):
             q = np.flatnonzero(vectors[i])
             part = index.first_parts(np.zeros(len(q), np.int64), q, vectors[i, q], 1)[0]
@@ -167,7 +167,7 @@ def test_examples_that_share_a_passage_all_stay(spark):
     rows = [(i, f"{passage * 3} own{i} words{i} follow{i}", i % 2) for i in range(40)] + [(90, "one text", 1), (80, "one text", 1), (70, "one text", 0), (60, "", 1), (61, " ", 0)]
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(r[0], 0, r[2]) for r in rows], "doc_id long, quality int, toxic int")
-    index = toxicity.train(spark, docs, labels)
+    index = toxicity.train(spark, docs, labels).index
     learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
     want = sorted({(t, y): min(i for i, u, z in learned if (u, z) == (t, y)) for _, t, y in learned}.values())
     assert sorted(index.ids.tolist()) == want

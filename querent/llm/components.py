@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from querent.llm import tables
 
-ROUNDS = 60
-
 
 def _state(links: DataFrame) -> tuple:
     row = links.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("x")).first()
@@ -20,21 +18,21 @@ def components(links: DataFrame) -> DataFrame:
 
     Large star: each node's larger neighbours are linked to its least one; small star: each node's smaller neighbours
     and itself are. Both only need least neighbours, so a node with very many links is pre-aggregated, never gathered.
+    Rounds go on until nothing changes, about the square of the logarithm of the largest component.
     """
+    spark = links.sparkSession
     links = tables.stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(links)
-    for _ in range(ROUNDS):
-        if not state[0]:
-            break
+    while state[0]:
         both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
         small = large.join(least, F.col("a") == F.col("k")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        links = tables.stored(small.unionAll(least.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct())
-        before, state = state, _state(links)
+        after = tables.stored(small.unionAll(least.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct())
+        before, state = state, _state(after)
+        tables.discard(spark, links)
+        links = after
         if state == before:
             break
-    else:
-        raise RuntimeError("components did not settle")
     return links.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -1,9 +1,10 @@
 """Operator 4: SimHash fingerprints and groups of near-duplicates by tiled exact comparison.
 
-Distinct fingerprints that differ in 2 bits or fewer agree in at least 6 of their 8 bytes. Each is sent to the 28
-choices of 6 bytes; a bucket of equal choices holds at most 65,536 distinct fingerprints, whatever the table's size or
-skew. Inside a bucket, tiles ordered by population count are compared with exclusive-or and bit counts; pairs of tiles
-whose population counts differ by more than the radius are skipped. A bucket passes on only a spanning set of its links.
+Distinct fingerprints are ordered by the population counts of their four 16-bit parts; those of equal counts form a tile.
+Two fingerprints within the radius have counts that differ by no more in sum, so each tile meets only the tiles whose
+counts are that near: all other pairs of tiles are skipped. A pair of tiles is compared block by block, by numpy
+exclusive-or and bit counts; a tile's fingerprints stand in order of the counts of their bytes, and pairs of blocks whose
+counts differ beyond the radius are skipped as well. A pair of tiles passes on only a spanning set of its links.
 
 Defined results: a null or empty text has fingerprint zero, linked like any other; texts of one or two words use their
 whole sequence; repeated rows are copies of each other; a null doc_id is never the smallest of a component that has
@@ -20,22 +21,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querent.llm import tables
+from querent.llm import tables, xxh64
 from querent.llm.components import components
-from querent.llm.textbatch import IS_PLAIN, LOWER, pieces, words
+from querent.llm.textbatch import IS_PLAIN, LOWER, expand, pieces, words
 
 SHINGLE = 3
 SEED = 42
 RADIUS = 2
-TILE = 512
-SMALL = 48
-CHOICES = list(itertools.combinations(range(8), 8 - RADIUS))
+PARTS = 4
+BLOCK = 512
+#: fingerprints of a tile in one row
+TILE_ROW = 1 << 16
+#: decisions on rows are broadcast up to so many, and joined beyond
+BROADCAST_ROWS = 2_000_000
+CHUNK = 255
+LANES = np.uint64(0x0101010101010101)
 
 
 def fingerprints(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     """The 64-bit fingerprint of each text of a buffer."""
-    from xxhash import xxh64_intdigest
-
     n = len(off) - 1
     starts, ends, of = words(buf, off, IS_PLAIN)
     count = np.diff(of)
@@ -46,77 +50,27 @@ def fingerprints(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     size = ends - starts
     at = np.cumsum(size + 1) - (size + 1)
     joined = np.full(int((size + 1).sum()), 32, np.uint8)
-    joined[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))] = LOWER[buf[np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]]
-    data = joined.tobytes()
+    joined[expand(at, size)] = LOWER[buf[expand(starts, size)]]
     shingles = np.where(count > 0, np.maximum(1, count - (SHINGLE - 1)), 0)
-    first = np.repeat(of[:-1] - (np.cumsum(shingles) - shingles), shingles) + np.arange(int(shingles.sum()))
+    first = expand(of[:-1], shingles)
     last = np.minimum(first + SHINGLE - 1, np.repeat(of[1:] - 1, shingles))
-    begin, stop = at[first].tolist(), (at[last] + size[last]).tolist()
-    h = np.fromiter((xxh64_intdigest(data[a:b], SEED) for a, b in zip(begin, stop)), np.uint64, len(begin))
+    h = xxh64.hashes(joined, at[first], at[last] + size[last] - at[first], SEED)
     full = np.flatnonzero(shingles)
-    edges = np.concatenate([[0], np.cumsum(shingles[full])])
-    total = np.zeros((len(full), 64), np.int64)
-    step = 1 << 17  # shingles whose bits are counted at once
-    bounds = np.unique(np.concatenate([edges[:-1], np.arange(0, len(h), step)]))
-    text_of = np.searchsorted(edges, bounds, "right") - 1
-    for a in range(0, len(h), step):
-        use = (bounds >= a) & (bounds < a + step)
-        bits = np.unpackbits(h[a : a + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        np.add.at(total, text_of[use], np.add.reduceat(bits, bounds[use] - a, axis=0, dtype=np.int64))
+    # bits are counted in eight bytes at once, 255 shingles at a time, so that no byte overflows
+    chunks = -(-shingles[full] // CHUNK)
+    chunk = np.cumsum(chunks) - chunks
+    edges = np.repeat(np.cumsum(shingles[full]) - shingles[full], chunks) + CHUNK * (np.arange(int(chunks.sum())) - np.repeat(chunk, chunks))
+    total = np.empty((len(full), 8, 8), np.int64)
+    for bit in range(8):
+        ones_of = np.add.reduceat((h >> np.uint64(bit)) & LANES, edges).view(np.uint8).reshape(-1, 8)
+        total[:, :, bit] = np.add.reduceat(ones_of, chunk, axis=0, dtype=np.int64)
+    total = total.reshape(-1, 64)
     ones = 2 * total > shingles[full][:, None]
     out[full] = np.packbits(ones, axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
 
-def spanning(x: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links between fingerprints of equal, adjacent keys, enough to connect what the radius connects in each bucket."""
-    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-    size = np.diff(edge)
-    left, right = [], []
-    small = np.repeat(size <= SMALL, size)
-    for shift in range(1, min(SMALL, int(size.max(initial=1)))):
-        near = (key[shift:] == key[:-shift]) & small[shift:]
-        at = np.flatnonzero(near)
-        if not len(at):
-            break
-        at = at[np.bitwise_count(x[at] ^ x[at + shift]) <= RADIUS]
-        left.append(x[at])
-        right.append(x[at + shift])
-    for b in np.flatnonzero(size > SMALL):
-        a, c = tiled(x[edge[b] : edge[b + 1]])
-        left.append(a)
-        right.append(c)
-    none = np.zeros(0, np.uint64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
-
-
-def tiled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links of one bucket."""
-    ones = np.bitwise_count(x)
-    order = np.argsort(ones, kind="stable")
-    x, ones = x[order], ones[order].astype(np.int64)
-    label = np.arange(len(x))
-    for i in range(0, len(x), TILE):
-        a = x[i : i + TILE]
-        top = ones[min(i + TILE, len(x)) - 1]
-        for j in range(i, len(x), TILE):
-            if ones[j] - top > RADIUS:
-                break  # later tiles have still more bits
-            p, q = np.nonzero(np.bitwise_count(a[:, None] ^ x[None, j : j + TILE]) <= RADIUS)
-            p, q = p + i, q + j
-            while True:  # hook the greater label below the smaller until the links agree
-                low, high = np.minimum(label[p], label[q]), np.maximum(label[p], label[q])
-                apart = low != high
-                if not apart.any():
-                    break
-                np.minimum.at(label, high[apart], low[apart])
-                while (nxt := label[label]).tolist() != label.tolist():
-                    label = nxt
-    moved = np.flatnonzero(label != np.arange(len(x)))
-    return x[moved], x[label[moved]]
-
-
-def with_fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def with_fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, uid (equal for equal rows) and fp (the fingerprint's 64 bits as a long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,50 +78,141 @@ def with_fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
             for lo, hi, buf, off in pieces(batch.column(2)):
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(fingerprints(buf, off).view(np.int64))], names=["doc_id", "uid", "fp"])
 
-    return tables.texts(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "text").mapInArrow(run, "doc_id long, uid long, fp long")
+    return tables.texts(docs).select("doc_id", uid_of("doc_id", "text").alias("uid"), "text").mapInArrow(run, "doc_id long, uid long, fp long")
+
+
+def uid_of(doc_id: str, text: str) -> Column:
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string"))
+
+
+def byte_counts(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x.view(np.uint8)).reshape(-1, 8)
+
+
+def in_order(x: np.ndarray) -> np.ndarray:
+    """Fingerprints by the population counts of their bytes."""
+    counts = byte_counts(x)
+    return x[np.lexsort((x, *counts.T))]
 
 
-def bucket_keys() -> Column:
-    """The 28 bucket keys of fp: 48 chosen bits above which stands the number of the choice."""
-    byte = [F.shiftrightunsigned(F.col("fp"), 8 * i).bitwiseAND(F.lit(255)) for i in range(8)]
-    keys = []
-    for n, chosen in enumerate(CHOICES):
-        key = F.lit(n).cast("long")
-        for i in chosen:
-            key = F.shiftleft(key, 8).bitwiseOR(byte[i])
-        keys.append(key)
-    return F.explode(F.array(*keys))
+class Tile:
+    """A tile's fingerprints in order, with the least and the largest counts of each block."""
+
+    def __init__(self, x: np.ndarray):
+        self.x = in_order(x)
+        first, counts = np.arange(0, len(x), BLOCK), byte_counts(self.x).astype(np.int16)
+        self.low, self.high = np.minimum.reduceat(counts, first), np.maximum.reduceat(counts, first)
+
+
+def near_pairs(a: Tile, b: Tile | None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning set of the links between two tiles, or within one, as fingerprints."""
+    same = b is None
+    b = a if same else b
+    both = a.x if same else np.concatenate([a.x, b.x])
+    shift = 0 if same else len(a.x)
+    label = np.arange(len(both))
+    for i in range(len(a.low)):
+        gap = np.maximum(0, np.maximum(a.low[i] - b.high, b.low - a.high[i])).sum(1)
+        left = a.x[i * BLOCK : (i + 1) * BLOCK]
+        for j in np.flatnonzero(gap <= RADIUS).tolist():
+            if same and j < i:
+                continue
+            p, q = np.nonzero(np.bitwise_count(left[:, None] ^ b.x[None, j * BLOCK : (j + 1) * BLOCK]) <= RADIUS)
+            p, q = p + i * BLOCK, q + j * BLOCK + shift
+            while True:  # hook the greater label below the smaller until the links agree
+                low, high = np.minimum(label[p], label[q]), np.maximum(label[p], label[q])
+                apart = low != high
+                if not apart.any():
+                    break
+                np.minimum.at(label, high[apart], low[apart])
+                while (shorter := label[label]).tobytes() != label.tobytes():
+                    label = shorter
+    moved = np.flatnonzero(label != np.arange(len(both)))
+    return both[moved], both[label[moved]]
+
+
+def part_counts() -> Column:
+    """The population counts of the four parts of fp, in one number."""
+    part = [F.bit_count(F.shiftrightunsigned(F.col("fp"), 16 * i).bitwiseAND(F.lit(0xFFFF))).cast("long") for i in range(PARTS)]
+    out = part[0]
+    for p in part[1:]:
+        out = out * 32 + p
+    return out
+
+
+def steps() -> list[int]:
+    """Differences of tiles' numbers whose counts differ by no more than the radius in sum; one of each sign, zero first."""
+    out = []
+    for d in itertools.product(range(-RADIUS, RADIUS + 1), repeat=PARTS):
+        if sum(map(abs, d)) <= RADIUS and d >= (0,) * PARTS:
+            number = 0
+            for x in d:
+                number = number * 32 + x
+            out.append(number)
+    return sorted(out)
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """Spanning links a, b between distinct fingerprints fp."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, x = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of at most TILE_ROW fingerprints of a tile, from rows in order of tile; one for each pair of tiles that it takes part in."""
 
-        def found(key, x):
-            a, b = spanning(x, key)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        def out(tile: int, x: np.ndarray) -> pa.RecordBatch:
+            # of a pair of tiles, the lower one is first; parts of numbers never carry, as counts are 0 to 16 and digits 0 to 31
+            lower, greater = [tile] * len(across), [tile - s for s in across]
+            n = 2 * len(across) - 1
+            return pa.RecordBatch.from_arrays([pa.array(lower + greater[1:], pa.int64()), pa.array(across + across[1:], pa.int64()), pa.array([0] * len(across) + [1] * (len(across) - 1), pa.int32()), pa.array([x.tobytes()] * n, pa.binary())], names=["tile", "step", "side", "fps"])
 
+        across, now, held, n = steps(), None, [], 0
         for batch in batches:
-            key = np.concatenate([key, np.asarray(batch.column(0))])
-            x = np.concatenate([x, np.asarray(batch.column(1)).astype(np.int64).view(np.uint64)])
-            if len(key) and key[0] != key[-1]:
-                cut = int(np.searchsorted(key, key[-1]))  # the last bucket may go on in the next batch
-                yield found(key[:cut], x[:cut])
-                key, x = key[cut:], x[cut:]
-        if len(key):
-            yield found(key, x)
-
-    keyed = distinct.select(bucket_keys().alias("key"), "fp")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+            tile, fp = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            edge = np.concatenate([[0], np.flatnonzero(tile[1:] != tile[:-1]) + 1, [len(tile)]]) if len(tile) else np.zeros(1, np.int64)
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                if held and (tile[lo] != now or n >= TILE_ROW):
+                    yield out(now, np.concatenate(held))
+                    held, n = [], 0
+                now = int(tile[lo])
+                held.append(fp[lo:hi])
+                n += hi - lo
+        if held:
+            yield out(now, np.concatenate(held))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for batch in batches:
+                yield from zip(*(batch.column(k).to_pylist() for k in range(4)))
+
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for (_, step), group in itertools.groupby(rows(), key=lambda r: r[:2]):
+            sides: tuple[list, list] = [], []
+            for r in group:
+                sides[r[2]].append(np.frombuffer(r[3], np.uint64))
+            if step == 0:
+                found.append(near_pairs(Tile(np.concatenate(sides[0])), None))
+            elif sides[0] and sides[1]:
+                found.append(near_pairs(*(Tile(np.concatenate(s)) for s in sides)))
+            if len(found) >= 256:
+                yield linked(found)
+                found = []
+        if found:
+            yield linked(found)
+
+    def linked(found) -> pa.RecordBatch:
+        a, b = (np.concatenate(x) for x in zip(*found))
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+    rows = distinct.select(part_counts().alias("tile"), "fp").repartition("tile").sortWithinPartitions("tile").mapInArrow(tiles, "tile long, step long, side int, fps binary")
+    return rows.repartition("tile", "step").sortWithinPartitions("tile", "step", "side").mapInArrow(compare, "a long, b long")
 
 
 def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, uid, fp, root (a fingerprint of the group) and component_id of every row of docs(doc_id, text)."""
-    marked = tables.stored(with_fingerprints(spark, docs))
+    marked = tables.stored(with_fingerprints(docs))
     distinct = tables.stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(distinct))
+    with tables.batches(spark, 2000):
+        found = tables.stored(links(distinct))
+    roots = components(found)
     classes = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
     least = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = classes.join(least, "root").select(F.col("fp").alias("class_fp"), "root", "component_id")
@@ -185,10 +230,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group stays: the one with the smallest doc_id (nulls last), of equal ids one by hash."""
-    best = groups(spark, docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("best"))
-    kept = best.select(F.col("best.uid").alias("__kept"))
-    mine = docs.withColumn("__uid", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(kept, F.col("__uid") == F.col("__kept"), "left_semi")
-    # equal rows, which may differ in other columns, stay once
-    one = mine.groupBy("__uid").agg(F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("__row"))
-    return one.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
+    """One row of each near-duplicate group stays: the one with the smallest doc_id (nulls last), of equal ids one by hash.
+
+    Rows that go, and rows of a uid that stands there more than once, are looked up by uid; texts move only where these
+    are too many to broadcast. Of equal rows, which may differ in other columns, one stays.
+    """
+    rows = groups(spark, docs).groupBy("root", "uid").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("best")).select(F.col("root").alias("r"), F.col("best.uid").alias("kept"))
+    uid, key, goes = (tables.spare_name(docs, name) for name in ("uid", "key", "goes"))
+    told = tables.stored(rows.join(best, F.col("root") == F.col("r")).select(F.col("uid").alias(key), (F.col("uid") != F.col("kept")).alias(goes), "n").where(F.col(goes) | (F.col("n") > 1)).select(key, goes))
+    few = told.count() <= BROADCAST_ROWS
+    keyed = docs.withColumn(uid, uid_of("doc_id", "text"))
+    known = keyed.join(F.broadcast(told) if few else told, F.col(uid) == F.col(key), "left")
+    plain = known.where(F.col(key).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    again = known.where(~F.col(goes)).groupBy(uid).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(key))
+    return plain.unionAll(again.select(*[F.col(f"`{key}`.`{c}`").alias(c) for c in docs.columns]))

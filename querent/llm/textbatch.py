@@ -117,6 +117,21 @@ def joined(batches: Iterator[pa.RecordBatch], column: int, size: int = PIECE_BYT
         yield pa.concat_batches(held)
 
 
+def recut(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows cut into batches of about size bytes of text, wherever the given batches end; none is empty."""
+    held = None
+    for batch in batches:
+        held = batch if held is None else pa.concat_batches([held, batch])
+        _, off = column_bytes(held.column(column))
+        lo = 0
+        while (hi := max(lo + 1, int(np.searchsorted(off, off[lo] + size, "right")) - 1)) < held.num_rows:
+            yield held.slice(lo, hi - lo)
+            lo = hi
+        held = held.slice(lo)
+    if held is not None and held.num_rows:
+        yield held
+
+
 def pieces(col: pa.Array, size: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cuts a column between rows: (first row, row after the last, bytes, offsets) of about size bytes each."""
     buf, off = column_bytes(col)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from querent.llm import components, decontamination, simhash
+from querent.llm import components, decontamination, simhash, xxh64
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -61,14 +61,61 @@ def test_tiles_and_buckets_lose_no_link(spark):
     x += [np.uint64(one ^ i) for i in range(1500)]  # one large bucket
     x = np.unique(np.array(x, np.uint64))
     label = groups(x.tolist())
-    a, b = simhash.tiled(x)
-    assert (np.bitwise_count(a ^ b) >= 0).all()
     df = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
     found = {r.node: r.root for r in components.components(simhash.links(df)).collect()}
     mine = [found.get(int(v), int(v)) for v in x.view(np.int64)]
     assert len(set(zip(mine, label.tolist()))) == len(set(mine)) == len(set(label.tolist()))
 
 
+def test_pairs_of_tiles_equal_all_pairs(monkeypatch):
+    """Blocks of few fingerprints, so that many pairs of blocks are skipped by their counts."""
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 2**63, 500, dtype=np.uint64)
+    y = np.concatenate([x[:200] ^ np.uint64(5), x[200:300] ^ np.uint64(7), rng.integers(0, 2**63, 300, dtype=np.uint64)])
+    for a, b in ((x, y), (np.concatenate([x, y]), None)):
+        both = a if b is None else np.concatenate([a, b])
+        near = np.bitwise_count(both[:, None] ^ both[None]) <= 2
+        if b is not None:
+            near[: len(a), : len(a)] = near[len(a) :, len(a) :] = False
+        p, q = simhash.near_pairs(simhash.Tile(a), None if b is None else simhash.Tile(b))
+        label = {int(v): int(v) for v in both}
+
+        def find(v, label=label):
+            while label[v] != v:
+                v = label[v]
+            return v
+
+        for u, v in zip(p.tolist(), q.tolist()):
+            label[find(u)] = find(v)
+        i, j = np.nonzero(near)
+        assert len(i) and all(find(int(both[k])) == find(int(both[m])) for k, m in zip(i, j))
+
+
+def test_tiles_that_are_skipped_hold_no_link():
+    steps = set(simhash.steps())
+    assert len(steps) == 21 and 0 in steps
+    number = lambda v: sum(((v >> 16 * i) & 0xFFFF).bit_count() * 32 ** (3 - i) for i in range(4))
+    rng = np.random.default_rng(4)
+    for _ in range(3000):
+        v = int(rng.integers(0, 2**63))
+        w = v ^ (1 << int(rng.integers(64))) ^ (1 << int(rng.integers(64)))
+        assert abs(number(v) - number(w)) in steps
+
+
+def test_hash_equals_the_library():
+    rng = np.random.default_rng(0)
+    data, start, size = rng.integers(0, 256, 9000).astype(np.uint8), rng.integers(0, 8000, 3000), rng.integers(0, 500, 3000)
+    raw = data.tobytes()
+    assert xxh64.hashes(data, start, size, 42).tolist() == [xxhash.xxh64_intdigest(raw[a : a + n], 42) for a, n in zip(start, size)]
+
+
+def test_fingerprint_of_a_long_text():
+    text = " ".join(f"w{i % 97}" for i in range(3000))
+    raw = np.frombuffer(text.encode(), np.uint8)
+    assert simhash.fingerprints(raw, np.array([0, len(raw)])).tolist() == [fingerprint(text)]
+
+
 def test_simhash_stage_keeps_one_of_each_group(spark, docs):
     full = docs.withColumn("component_id", docs.doc_id)
     out = simhash.stage(spark, full, "").collect()

@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from querent.llm import packing, token_counts, token_files
+from querent.llm import packing, tables, token_counts, token_files
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -104,7 +104,12 @@ def test_plan_covers_every_token_once():
     rng = np.random.default_rng(5)
     for n in (0, 1, 3, 50, 400):
         lengths = rng.integers(1, 9000, n).tolist()
-        windows = packing.plan(lengths)
+        segments = [(d, 0, x) for d, x in enumerate(lengths)]
+        some, rest = packing.plan(segments[: n // 2], last=False)
+        assert all(sum(x[2] for x in w) in packing.TIERS for w in some)
+        more, left = packing.plan(rest + segments[n // 2 :])
+        windows = some + more
+        assert not left
         seen = sorted(x for w in windows for x in w)
         for d, size in enumerate(lengths):
             at = 0
@@ -117,6 +122,33 @@ def test_plan_covers_every_token_once():
             assert sum(sum(x[2] for x in w) == 4096 for w in windows) >= 0.5 * sum(lengths) / 4096
 
 
+def test_step_groups_are_balanced(spark, monkeypatch):
+    """Over all tasks: one size in a group, equal totals but for the last of a size; and no windows under a tier but at a task's end."""
+    monkeypatch.setattr(packing, "BATCH_BYTES", 60_000)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(3)
+    rows = packing.digest(packing.pack(spark, docs, WORDS)).where("offset = 0").collect()
+    size, groups = {r.sequence_id: r.sequence_length for r in rows}, defaultdict(list)
+    for r in rows:
+        groups[r.step_group].append(size[r.sequence_id])
+    totals = defaultdict(list)
+    for group in groups.values():
+        assert len(set(group)) == 1
+        totals[group[0]].append(sum(group))
+    for sums in totals.values():
+        assert sorted(sums)[1:] == [packing.STEP_TOKENS] * (len(sums) - 1) and max(sums) <= packing.STEP_TOKENS
+    assert {s >> 40 for s in size} == {0, 1, 2}
+    assert sum(s < packing.TIERS[0] for s in size.values()) <= 3 * 9
+
+
+def test_packing_does_not_depend_on_arrow_batches(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    out = []
+    for n in (7, 10_000):
+        with tables.batches(spark, n):
+            out.append(sorted(packing.digest(packing.pack(spark, docs, WORDS)).collect()))
+    assert out[0] == out[1]
+
+
 def test_empty_table(spark, docs):
     empty = docs.limit(0)
     assert token_counts.token_counts(spark, empty, PIECES).count() == 0

@@ -47,8 +47,8 @@ def test_length_table_holds_every_key():
 
 
 def test_files_round_trip(spark, docs):
-    shards = token_files.write_shards(spark, docs, WORDS)
-    got = sorted((r.start, r.doc_id, r.n_tokens, bytes(r.ids)) for r in token_files.read_documents(spark, shards).collect())
+    files = token_files.write_files(spark, docs, WORDS, shard_size=20_000)
+    got = sorted((r.start, r.doc_id, r.n_tokens, bytes(r.ids)) for r in token_files.read_documents(spark, files).collect())
     rows = docs.collect()
     assert sorted((str(d), crc(np.frombuffer(x, "<u4"))) for _, d, _, x in got) == sorted((str(r.doc_id), crc(word_ids(r.text, 1))) for r in rows)
     at, last = 0, None
@@ -58,17 +58,53 @@ def test_files_round_trip(spark, docs):
         at, last = at + n, doc_id
 
 
-def test_perfect_hash_is_minimal_and_rejects_strangers(spark):
+def test_lookup_reads_only_its_documents(spark):
+    """Over many shards, with keys in several of them, null keys and keys that are not there."""
+    rows = [(7 * i, f"text {i} " * (1 + i % 40)) for i in range(3000)] + [(None, "no key"), (None, "none either")] + [(700, f"again {i} " * 300) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    files = token_files.write_files(spark, df, WORDS, shard_size=30_000)
+    reader = token_files.Reader(files)
+    want = defaultdict(list)
+    for k, t in rows:
+        want[k].append(t)
+    total = files.shards.agg({"n_ids": "sum"}).first()[0]
+    assert len(reader.places) > 8
+    assert sum(f == r for f, r in zip(reader.first[1:], reader.last)) >= 1  # a key in several shards
+    for key in (0, 7, 6993, 2100, 700, None, 20993, 3, -5, 10**9):
+        before = reader.bytes_read
+        held = len(reader.held)
+        found = reader.get(key)
+        assert sorted(crc(x) for x in found) == sorted(crc(word_ids(t, 1)) for t in want.get(key, ()))
+        opened = len(reader.held) - held
+        payload = sum(2 * len(x) for x in found)
+        # a head for each file that was opened, and for each file some words of the index and the offsets
+        assert reader.bytes_read - before <= payload + 8 * len(found) + (opened + 4) * 700
+    assert reader.bytes_read < 0.3 * total * 2 + 100_000
+    some = token_files.lookup(files, [14, 15])
+    assert [crc(x) for x in some[14]] == [crc(word_ids("text 2 " * 3, 1))] and some[15] == []
+
+
+def test_a_file_is_written_once_more_with_the_same_bytes(tmp_path):
     import pyarrow as pa
 
-    keys = pa.array([*range(0, 40_000, 7), None])
-    h = token_files.key_hash(keys)
-    index = token_files.PerfectHash.build(np.unique(h))
-    assert sorted(index.slot(h).tolist()) == list(range(len(keys)))
-    row = token_files.shard_row(0, 0, 0, keys, np.arange(len(keys), dtype="<u2"), np.arange(len(keys) + 1))
-    shard = token_files.Shard(row)
-    first, count = shard.find(pa.array([0, 14, 3, None, -1]))
-    assert first[[0, 1, 3]].tolist() == [0, 2, len(keys) - 1] and count.tolist()[:4] == [1, 1, 0, 1]
+    keys, ids = pa.array([1, 2, 2, None]), np.arange(9, dtype="<u2")
+    data = token_files.shard_bytes(keys, ids, np.array([0, 2, 4, 8, 9]))
+    for _ in range(2):
+        token_files.store(f"file://{tmp_path}/x/1.ids", data)
+    assert [p.name for p in (tmp_path / "x").iterdir()] == ["1.ids"] and (tmp_path / "x/1.ids").read_bytes() == data
+    with token_files.opened(f"file://{tmp_path}/x/1.ids") as file:
+        shard = token_files.Shard(file)
+        assert [shard.find(k) for k in (1, 2, None, 3)] == [(0, 1), (1, 2), (3, 1), (0, 0)]
+        assert [x.tolist() for x in shard.documents(1, 2)] == [[2, 3], [4, 5, 6, 7]]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 100, 40_000])
+def test_perfect_hash_is_minimal(n):
+    h = np.unique(np.random.default_rng(n).integers(0, 2**63, n, dtype=np.uint64))
+    index = token_files.PerfectHash.build(h)
+    assert sorted(index.slot(h).tolist()) == list(range(n))
+    index = token_files.PerfectHash(np.array([8]), index.words[:1] if n else index.words, np.sort(h))  # keys that no level took
+    assert n != 1 or index.slot(h[:1]).tolist() in ([0], [1])
 
 
 def check_pieces(rows, docs, window=4096):
@@ -153,4 +189,4 @@ def test_empty_table(spark, docs):
     empty = docs.limit(0)
     assert token_counts.token_counts(spark, empty, PIECES).count() == 0
     assert packing.pack(spark, empty, WORDS).count() == 0
-    assert token_files.read_documents(spark, token_files.write_shards(spark, empty, WORDS)).count() == 0
+    assert token_files.read_documents(spark, token_files.write_files(spark, empty, WORDS)).count() == 0

@@ -3,14 +3,18 @@
 Suffixes are sampled: each 200-byte window is represented by the place in it whose 96-byte string has the least hash,
 so equal windows are represented alike wherever they stand, and windows that share a place form a run. The runs of a
 shard are sorted as suffixes by deep-shallow sorting: multikey quicksort over eight-byte characters to a shallow depth,
-then a blind trie for each group with a longer common prefix. Runs that are equal there are settled in the shard, and
-one of each class goes on. Classes of all shards meet by 64-bit hashes of the place's string: equal runs are repeated
-as a whole; runs that share only the place are resolved window by window in a second exchange. Equal rows are combined
-before each exchange, and strings that are frequent in a shard are spread by their runs, so no key is hot.
+then a blind trie for each group with a longer common prefix. Neighbours in that order that are equal over their whole
+length are a class; classes of several runs are settled in the shard, and one run of each class goes on. Classes of all
+shards meet by 64-bit hashes of the place's string: equal runs are repeated as a whole; runs that share only the place
+are resolved window by window in a second exchange.
+
+A class that stands in several shards of a sample (a fixed share of the texts, by hash) is known to be repeated: its runs
+are settled wherever they are met, and only one of them, from the sample, goes on. So no place gathers a row from every
+shard. Strings that are frequent within a shard are spread by their runs. What is removed does not depend on either.
 
 Defined results: a null or empty text has no bytes; texts of less than 200 bytes lose nothing; repeated rows repeat
 each other's strings; null doc_ids keep their rows; an empty table gives no rows; other columns are ignored. Strings
-are compared by 64-bit hashes between shards.
+are compared by 64-bit hashes between shards, by bytes within one.
 """
 
 from __future__ import annotations
@@ -23,10 +27,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querent.llm import tables
-from querent.llm.textbatch import byte_sums, column_bytes, mix, pieces, span_hash
+from querent.llm.textbatch import byte_sums, column_bytes, mix, recut, span_hash
 
 LENGTH = 200
 PLACE = 96
+#: bytes of a shard's texts
+SHARD_BYTES = 4 << 20
+#: one of so many texts is in the sample; a class in so many of its shards is settled everywhere; classes in the list, at most
+SAMPLE = 64
+SAMPLE_SHARD_BYTES = 1 << 18
+KNOWN_FROM = 4
+KNOWN = 1 << 16
 POSITION_BITS = 23
 SEGMENT = 1 << 21
 SHALLOW = 32
@@ -174,14 +185,7 @@ def combined(place: np.ndarray, f: np.ndarray, uid: np.ndarray, pos: np.ndarray,
     state = np.where(count > 1, MANY, ONE)
     settled = order[np.repeat(count > 1, count)]
     if len(settled):
-        # neighbouring runs of a text go on as one
-        settled = settled[np.lexsort((pos[settled], uid[settled]))]
-        u, p, e = uid[settled], pos[settled], pos[settled] + n[settled]
-        new = np.concatenate([[True], (u[1:] != u[:-1]) | (p[1:] > e[:-1])])
-        at = np.flatnonzero(new)
-        last = np.append(at[1:], len(u)) - 1
-        k = mix(u[at].view(np.uint64))
-        yield batch_of(k, k, u[at], p[at], e[last] - p[at], np.full(len(at), SETTLED))
+        yield settled_rows(uid[settled], pos[settled], n[settled])
     key = place[lead]
     _, inverse, classes = np.unique(key, return_inverse=True, return_counts=True)
     hot = classes[inverse] > FREQUENT
@@ -195,16 +199,71 @@ def combined(place: np.ndarray, f: np.ndarray, uid: np.ndarray, pos: np.ndarray,
     yield batch_of(key, f[lead], uid[lead], pos[lead], n[lead], state)
 
 
-def shard_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Known:
+    """Classes that the sample shows to be repeated, by place and content."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.sort(keys)
+
+    def holds(self, place: np.ndarray, f: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(f), bool)
+        key = class_key(place, f)
+        return self.keys[np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)] == key
+
+
+def class_key(place: np.ndarray, f: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(place ^ mix(f * np.uint64(0x9E3779B97F4A7C15)))
+
+
+def settled_rows(uid: np.ndarray, pos: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Rows of runs that are known to be repeated; neighbouring runs of a text go on as one."""
+    order = np.lexsort((pos, uid))
+    u, p, e = uid[order], pos[order], (pos + n)[order]
+    at = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (p[1:] > e[:-1])]))
+    last = np.append(at[1:], len(u)) - 1
+    k = mix(u[at].view(np.uint64))
+    return batch_of(k, k, u[at], p[at], e[last] - p[at], np.full(len(at), SETTLED))
+
+
+def shard_runs(known):
     """Rows of the runs of texts (uid, text), sorted shard by shard."""
-    for batch in batches:
-        ids = np.asarray(batch.column(0))
-        for lo, hi, buf, off in pieces(batch.column(1)):
-            sums = byte_sums(buf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in recut(batches, 1, SHARD_BYTES):
+            buf, off = column_bytes(batch.column(1))
+            ids, sums = np.asarray(batch.column(0)), byte_sums(buf)
             place, text, s, n = runs(buf, off, sums)
-            if len(s):
-                size = n + (LENGTH - 1)
-                yield from combined(place, span_hash(sums, s, s + size), ids[lo:hi][text], s - off[text], n, *deep_shallow(buf, s, size))
+            f, uid, pos = span_hash(sums, s, s + n + (LENGTH - 1)), ids[text], s - off[text]
+            there = known.value.holds(place, f)
+            if there.any():
+                yield settled_rows(uid[there], pos[there], n[there])
+            rest = np.flatnonzero(~there)
+            if len(rest):
+                yield from combined(place[rest], f[rest], uid[rest], pos[rest], n[rest], *deep_shallow(buf, s[rest], n[rest] + (LENGTH - 1)))
+
+    return run
+
+
+def repeated_in_sample(spark: SparkSession, docs: DataFrame) -> tuple[Known, DataFrame]:
+    """The classes that several shards of the sample share, and one row of each of them for the exchange."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in recut(batches, 1, SAMPLE_SHARD_BYTES):
+            buf, off = column_bytes(batch.column(1))
+            ids, sums = np.asarray(batch.column(0)), byte_sums(buf)
+            place, text, s, n = runs(buf, off, sums)
+            f = span_hash(sums, s, s + n + (LENGTH - 1))
+            _, first = np.unique(class_key(place, f), return_index=True)
+            yield batch_of(place[first], f[first], ids[text[first]], (s - off[text])[first], n[first], np.full(len(first), MANY))
+
+    rows = docs.where(F.pmod("uid", F.lit(SAMPLE)) == 0).mapInArrow(run, ROWS)
+    one = F.min(F.struct("uid", "pos", "n")).alias("x")
+    often = rows.groupBy("key", "f").agg(F.count(F.lit(1)).alias("shards"), one).where(F.col("shards") >= KNOWN_FROM).orderBy(F.desc("shards"), "key", "f").limit(KNOWN)
+    found = tables.stored(often.select("key", "f", "x.uid", "x.pos", "x.n", F.lit(MANY).alias("state")))
+    keys = found.select("key", "f").toPandas()  # at most KNOWN
+    return Known(class_key(keys.key.to_numpy(np.int64).view(np.uint64), keys.f.to_numpy(np.int64).view(np.uint64))), found
 
 
 def shard_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,16 +318,29 @@ def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [np.concatenate(x) for x in zip(*out)]
         return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1].astype(np.int32)), pa.array(cols[2].astype(np.int32)), pa.array(cols[3])], names=[x.split()[0] for x in FOUND.split(", ")])
 
-    held = [np.zeros(0, np.int64)] * 6
+    # rows of a key may come in several batches; they are put together once
+    held: list[list[np.ndarray]] = []
+
+    def put_together() -> pa.RecordBatch | None:
+        cols = [np.concatenate(x) for x in zip(*held)]
+        held.clear()
+        return done(*cols)
+
     for batch in batches:
-        held = [np.concatenate([a, np.asarray(batch.column(i)).astype(np.int64)]) for i, a in enumerate(held)]
-        key = held[0]
-        if len(key) and key[0] != key[-1]:
-            cut = int(np.searchsorted(key, key[-1]))
-            if (out := done(*[x[:cut] for x in held])) is not None:
+        cols = [np.asarray(batch.column(i)).astype(np.int64) for i in range(6)]
+        key = cols[0]
+        if not len(key):
+            continue
+        if held and held[-1][0][-1] != key[0] and (out := put_together()) is not None:
+            yield out
+        if key[0] != key[-1]:
+            cut = int(np.flatnonzero(key != key[-1])[-1]) + 1
+            held.append([x[:cut] for x in cols])
+            if (out := put_together()) is not None:
                 yield out
-            held = [x[cut:] for x in held]
-    if (out := done(*held)) is not None:
+            cols = [x[cut:] for x in cols]
+        held.append(cols)
+    if held and (out := put_together()) is not None:
         yield out
 
 
@@ -294,11 +366,16 @@ def packed(docs: DataFrame) -> DataFrame:
 
 def repeated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """uid, spans: runs of repeated windows (first, number) of the texts of docs(uid, text) that have any."""
-    found = tables.stored(exchange(docs.select("uid", "text").mapInArrow(shard_runs, ROWS)))
-    edges = found.where("not full").groupBy("uid").agg(F.collect_list(F.struct("pos", "n")).alias("edges"))  # at most a text's windows
-    open_texts = packed(docs.select("uid", "text")).join(edges, "uid").select("uid", "z", "edges", "n_bytes")
+    docs = docs.select("uid", "text")
+    known, samples = repeated_in_sample(spark, docs)
+    rows = docs.mapInArrow(shard_runs(spark.sparkContext.broadcast(known)), ROWS)
+    found = tables.stored(exchange(rows.unionAll(samples)))
+    # equal rows share a uid and have the same runs, which count once; at most a text's windows
+    edges = found.where("not full").groupBy("uid").agg(F.collect_set(F.struct("pos", "n")).alias("edges"))
+    open_texts = packed(docs).join(edges, "uid").select("uid", "z", "edges", "n_bytes")
     windows = tables.stored(exchange(open_texts.mapInArrow(shard_windows, ROWS)).where("full"))
-    return found.where("full").unionAll(windows).groupBy("uid").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
+    tables.discard(spark, samples)
+    return found.where("full").unionAll(windows).groupBy("uid").agg(F.collect_set(F.struct("pos", "n")).alias("spans"))
 
 
 def without_spans(raw: bytes, spans: list) -> tuple[bytes, int, int]:
@@ -346,20 +423,21 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose their repeated strings (and what is left of a character that was cut); every row and column stays, n_chars counts anew."""
-    keyed = docs.withColumn("__uid", F.xxhash64("doc_id", "text"))
-    spans = repeated(spark, keyed.select(F.col("__uid").alias("uid"), F.col("text").cast("string"))).select(F.col("uid").alias("__key"), F.col("spans").alias("__spans"))
-    joined = keyed.join(spans, F.col("__uid") == F.col("__key"), "left").drop("__uid", "__key")
+    uid, key, spans = (tables.spare_name(docs, name) for name in ("uid", "key", "spans"))
+    keyed = docs.withColumn(uid, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    found = repeated(spark, keyed.select(F.col(uid).alias("uid"), F.col("text").cast("string").alias("text"))).select(F.col("uid").alias(key), F.col("spans").alias(spans))
+    joined = keyed.join(found, F.col(uid) == F.col(key), "left").drop(uid, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, chars = batch.schema.get_field_index("text"), batch.schema.get_field_index("n_chars")
             values = batch.column(text).to_pylist()
-            for i, s in enumerate(batch.column("__spans").to_pylist()):
+            for i, s in enumerate(batch.column(spans).to_pylist()):
                 if s:
                     values[i] = without_spans(values[i].encode(), [(x["pos"], x["n"]) for x in s])[0].decode("utf-8", "ignore")
             out = batch.set_column(text, batch.schema.field(text), pa.array(values, batch.schema.field(text).type))
             if chars >= 0 and pa.types.is_integer(batch.schema.field(chars).type):
                 out = out.set_column(chars, batch.schema.field(chars), pa.array([None if v is None else len(v) for v in values], batch.schema.field(chars).type))
-            yield out.drop_columns(["__spans"])
+            yield out.drop_columns([spans])
 
     return joined.mapInArrow(run, docs.schema)

@@ -49,6 +49,47 @@ def test_equals_brute_force(spark, monkeypatch):
     assert suffix_dedup.deduplicate(spark, docs.limit(0)).count() == 0
 
 
+def test_a_string_in_every_shard(spark, monkeypatch):
+    """Classes that the sample knows are settled where they are met; others that share their places are still found."""
+    rng = np.random.default_rng(12)
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 1500)
+    monkeypatch.setattr(suffix_dedup, "SAMPLE_SHARD_BYTES", 1500)
+    word = lambda n: " ".join("".join(rng.choice(list("abcdefg"), 6)) for _ in range(n))
+    license_text = word(120)
+    rows = [(i, f"{word(20)} {license_text} {word(20)}") for i in range(60)] + [(100 + i, f"{word(9)} {license_text[i * 7 : 260 + i * 9]} {word(9)}") for i in range(12)]
+    want = Counter((d, *x) for (d, _), x in zip(rows, brute([t for _, t in rows])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for sample, least in ((1, 4), (3, 2), (64, 4)):
+        monkeypatch.setattr(suffix_dedup, "SAMPLE", sample)
+        monkeypatch.setattr(suffix_dedup, "KNOWN_FROM", least)
+        out = suffix_dedup.deduplicate(spark, docs).collect()
+        assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out) == want
+        keyed = suffix_dedup.tables.texts(docs).selectExpr("xxhash64(doc_id, text) uid", "text")
+        known, samples = suffix_dedup.repeated_in_sample(spark, keyed)
+        assert len(known.keys) == samples.count() and (len(known.keys) > 0 or sample == 64)
+
+
+def test_many_equal_rows(spark):
+    """Each of 5,000 equal rows has the same runs, which are kept once."""
+    text = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text)] * 5000 + [(2, text[:150])], "doc_id long, text string").repartition(4)
+    keyed = docs.selectExpr("xxhash64(doc_id, text) uid", "text")
+    spans = suffix_dedup.repeated(spark, keyed).collect()
+    assert len(spans) == 1 and len(spans[0].spans) <= len(text)
+    out = suffix_dedup.deduplicate(spark, docs).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in out) == {(1, len(text), len(text), 1): 5000, (2, 150, 0, 0): 1}
+
+
+def test_rows_of_a_key_over_many_batches(spark):
+    import pyarrow as pa
+
+    cols = [np.repeat([1, 2, 3, 4], [1, 5000, 2, 1]).astype(np.uint64), np.full(5004, 9, np.uint64), np.arange(5004), np.zeros(5004, int), np.ones(5004, int), np.zeros(5004, int)]
+    whole = suffix_dedup.batch_of(*cols)
+    for step in (1, 7, 4999, 6000):
+        out = pa.Table.from_batches(suffix_dedup.resolve(iter([whole.slice(i, step) for i in range(0, 5004, step)])))
+        assert sorted(out.column("uid").to_pylist()) == list(range(1, 5003)) and all(out.column("full").to_pylist())
+
+
 def test_test_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = docs.collect()

@@ -12,6 +12,7 @@ hits; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -163,68 +164,123 @@ def occurrences(phrases: Phrases, number: np.ndarray, of: np.ndarray):
     return np.concatenate(first), np.concatenate(length), np.concatenate(which)
 
 
-class Spans:
-    """What a shard's index finds: words of each text, hit spans by text and word, and items by text."""
+class Found:
+    """What a shard's index finds: for each occurrence its text, first word in the text, number of words and item names."""
 
-    def __init__(self, blocks: list, raw: np.ndarray, off: np.ndarray):
+    def __init__(self, phrases: Phrases, raw: np.ndarray, off: np.ndarray):
         buf, n = LOWER[raw], len(off) - 1
         starts, ends, of = words(buf, off, IS_ALNUM)
-        h = span_hash(byte_sums(buf), starts, ends)
-        cover, self.items = np.zeros(len(h) + 1, np.int64), [set() for _ in range(n)]
         text_of = owner(of)
-        for block in blocks:
-            phrases: Phrases = block.value
-            first, length, which = occurrences(phrases, phrases.numbers(h), of)
-            np.add.at(cover, first, 1)
-            np.add.at(cover, first + length, -1)
-            for d, size, w in set(zip(text_of[first].tolist(), length.tolist(), which.tolist())):
-                self.items[d].update(phrases.names[i] for i in phrases.by_length[size][1][w])
-            if len(blocks) > 1:
-                block.__dict__.pop("_value", None)  # read again from the executor's disk when needed
+        first, length, which = occurrences(phrases, phrases.numbers(span_hash(byte_sums(buf), starts, ends)), of)
+        self.text, self.first, self.length = text_of[first], first - of[text_of[first]], length
+        self.items: list[set[str]] = [set() for _ in range(n)]
+        for d, size, w in set(zip(self.text.tolist(), length.tolist(), which.tolist())):
+            self.items[d].update(phrases.names[i] for i in phrases.by_length[size][1][w])
+
+
+class Spans:
+    """Merged spans of hit words: for each text its number of words, and (first byte, byte after the last, words) of each span."""
+
+    def __init__(self, raw: np.ndarray, off: np.ndarray, text: np.ndarray, first: np.ndarray, length: np.ndarray):
+        starts, ends, of = words(LOWER[raw], off, IS_ALNUM)
+        cover = np.zeros(len(starts) + 1, np.int64)
+        first = first + of[text]
+        np.add.at(cover, first, 1)
+        np.add.at(cover, first + length, -1)
         hit = np.concatenate([[False], np.cumsum(cover)[:-1] > 0, [False]])
-        cut = np.zeros(len(h) + 1, bool)
+        cut = np.zeros(len(starts) + 1, bool)
         cut[of] = True
         a = np.flatnonzero(hit[1:] & (~hit[:-1] | cut))
         b = np.flatnonzero(hit[:-1] & (~hit[1:] | cut))
         self.words = np.diff(of)
-        self.spans: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]  # first byte, byte after the last, words
-        for d, x, y in zip(text_of[a].tolist(), a.tolist(), b.tolist()):
+        self.spans: list[list[tuple[int, int, int]]] = [[] for _ in range(len(off) - 1)]
+        for d, x, y in zip(owner(of)[a].tolist(), a.tolist(), b.tolist()):
             self.spans[d].append((int(starts[x] - off[d]), int(ends[y - 1] - off[d]), y - x))
 
 
-def hits(docs: DataFrame, blocks: list) -> DataFrame:
-    """For every row: its words, the merged spans (bytes, and hit words in each) and the items that occur.
+HIT = "array<struct<first:long,length:long>>"
 
-    blocks: broadcast Phrases; with more than one, a worker holds one at a time.
-    """
+
+def block_hits(docs: DataFrame, block) -> DataFrame:
+    """uid, hits (first word, words) and items of the rows of docs(uid, text) in which phrases of a broadcast block occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("words", pa.int64())]))), ("items", pa.list_(pa.string()))])
         for batch in batches:
             for lo, hi, raw, off in pieces(batch.column(1), SHARD_BYTES):
-                found = Spans(blocks, raw, off)
-                spans = [[dict(zip(("start", "stop", "words"), s)) for s in of] for of in found.spans]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(found.words), pa.array(spans, schema.field("spans").type), pa.array([sorted(x) for x in found.items], schema.field("items").type)], schema=schema)
+                found = Found(block.value, raw, off)
+                hits: dict[int, list] = {}
+                for d, k, n in zip(found.text.tolist(), found.first.tolist(), found.length.tolist()):
+                    hits.setdefault(d, []).append({"first": k, "length": n})
+                keys = sorted(hits)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[lo:hi].take(pa.array(keys, pa.int64())), pa.array([hits[d] for d in keys], pa.list_(pa.struct([("first", pa.int64()), ("length", pa.int64())]))), pa.array([sorted(found.items[d]) for d in keys], pa.list_(pa.string()))],
+                    names=["uid", "hits", "items"],
+                )
 
-    return docs.mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(run, f"uid long, hits {HIT}, items array<string>")
 
 
-def broadcast_blocks(spark: SparkSession, benchmark: DataFrame) -> list:
-    """The benchmark's phrases in blocks of a checked size."""
+def benchmark_blocks(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """The distinct items (name, text), and the number of blocks of about BLOCK_BYTES that hold them."""
     items = tables.texts(benchmark, "item_id").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), "text").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    count = 1 + size // BLOCK_BYTES
-    blocks = []
+    return items, 1 + size // BLOCK_BYTES
+
+
+def block_of(spark: SparkSession, items: DataFrame, k: int, count: int):
+    rows = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(count)) == k).sort("name", "text").collect()  # about BLOCK_BYTES
+    return spark.sparkContext.broadcast(Phrases([r.name for r in rows], [r.text for r in rows]))
+
+
+def with_spans(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: str, work, schema: str) -> DataFrame:
+    """work(batch, spans, items) on every batch of docs, with the spans and items of each row's text.
+
+    A benchmark of one block is broadcast and searched where the texts are read. A larger one is searched block by block,
+    one pass and one broadcast at a time; what the passes find joins the rows at the end.
+    """
+    items, count = benchmark_blocks(benchmark)
+    if count == 1:
+        block = block_of(spark, items, 0, 1)
+
+        def at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo, hi, raw, off in pieces(batch.column(text), SHARD_BYTES):
+                    found = Found(block.value, raw, off)
+                    yield work(batch.slice(lo, hi - lo), Spans(raw, off, found.text, found.first, found.length), [sorted(x) for x in found.items])
+
+        return docs.mapInArrow(at_once, schema)
+    uid, key, hits, names = (tables.spare_name(docs, n) for n in ("uid", "key", "hits", "items"))
+    keyed = docs.withColumn(uid, F.xxhash64(F.col(text)))
+    parts = []
     for k in range(count):
-        rows = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(count)) == k).sort("name", "text").collect()
-        blocks.append(spark.sparkContext.broadcast(Phrases([r.name for r in rows], [r.text for r in rows])))
-    return blocks
+        block = block_of(spark, items, k, count)
+        parts.append(tables.stored(block_hits(keyed.select(F.col(uid).alias("uid"), F.col(text).cast("string").alias("text")), block)))
+        block.unpersist()
+    every = functools.reduce(DataFrame.unionAll, parts).groupBy("uid").agg(F.flatten(F.collect_set("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    joined = keyed.join(every.select(F.col("uid").alias(key), F.col("hits").alias(hits), F.col("items").alias(names)), F.col(uid) == F.col(key), "left").drop(uid, key)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some, found = batch.column(hits).to_pylist(), batch.column(names).to_pylist()
+            rows = batch.drop_columns([hits, names])
+            for lo, hi, raw, off in pieces(batch.column(text), SHARD_BYTES):
+                flat = [(d, x["first"], x["length"]) for d, of in enumerate(some[lo:hi]) for x in of or ()]
+                at, first, length = np.array(flat, np.int64).reshape(-1, 3).T
+                yield work(rows.slice(lo, hi - lo), Spans(raw, off, at, first, length), [sorted(x or ()) for x in found[lo:hi]])
+
+    return joined.mapInArrow(merged, schema)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, items and spans of every row of docs(doc_id, text); spans are byte ranges of its text."""
+
+    def work(batch: pa.RecordBatch, found: Spans, items: list[list[str]]) -> pa.RecordBatch:
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("words", pa.int64())]))
+        spans = [[dict(zip(("start", "stop", "words"), s)) for s in of] for of in found.spans]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.words), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "n_words", "spans", "items"])
+
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s.words)
-    return hits(tables.texts(docs), broadcast_blocks(spark, benchmark)).select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "spans")
+    return with_spans(spark, tables.texts(docs), benchmark, "text", work, SCHEMA).select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "spans")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,23 +307,20 @@ FROM d LEFT JOIN h USING (r) LEFT JOIN m USING (r)
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Hit words go from their texts, with what stands between the words of a span; every row and column stays, n_chars counts anew."""
-    blocks = broadcast_blocks(spark, tables.table(spark, sf_dir, "benchmark"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text, chars = batch.schema.get_field_index("text"), batch.schema.get_field_index("n_chars")
-            values = batch.column(text).to_pylist()
-            for lo, hi, raw, off in pieces(batch.column(text), SHARD_BYTES):
-                for i, spans in enumerate(Spans(blocks, raw, off).spans, lo):
-                    if spans:
-                        whole, out, at = values[i].encode(), [], 0
-                        for first, last, _ in spans:
-                            out.append(whole[at:first])
-                            at = last
-                        values[i] = b"".join([*out, whole[at:]]).decode("utf-8")
-            out = batch.set_column(text, batch.schema.field(text), pa.array(values, batch.schema.field(text).type))
-            if chars >= 0 and pa.types.is_integer(batch.schema.field(chars).type):
-                out = out.set_column(chars, batch.schema.field(chars), pa.array([None if v is None else len(v) for v in values], batch.schema.field(chars).type))
-            yield out
-
-    return docs.mapInArrow(run, docs.schema)
+    def work(batch: pa.RecordBatch, found: Spans, items: list[list[str]]) -> pa.RecordBatch:
+        text, chars = batch.schema.get_field_index("text"), batch.schema.get_field_index("n_chars")
+        values = batch.column(text).to_pylist()
+        for i, spans in enumerate(found.spans):
+            if spans:
+                whole, out, at = values[i].encode(), [], 0
+                for first, last, _ in spans:
+                    out.append(whole[at:first])
+                    at = last
+                values[i] = b"".join([*out, whole[at:]]).decode("utf-8")
+        out = batch.set_column(text, batch.schema.field(text), pa.array(values, batch.schema.field(text).type))
+        if chars >= 0 and pa.types.is_integer(batch.schema.field(chars).type):
+            out = out.set_column(chars, batch.schema.field(chars), pa.array([None if v is None else len(v) for v in values], batch.schema.field(chars).type))
+        return out
+
+    return with_spans(spark, docs, tables.table(spark, sf_dir, "benchmark"), "text", work, docs.schema)

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from querent.llm import quality, toxicity
+from querent.llm import quality, samples, toxicity
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -40,12 +40,33 @@ def test_quality(spark, edges):
     got = quality.quality(spark, docs, labels).collect()
     want = Counter((str(r.doc_id), *(b := rules(r.text or "")), b[0] < 20 or 100 * b[4] > 30 * b[0]) for r in docs.collect())
     assert Counter((str(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got) == want
-    label = {r.doc_id: r.quality for r in labels.collect()}
-    checked = [(r.kept, label[r.doc_id]) for r in got if r.doc_id in label and not r.base_failed]
-    assert sum(k == bool(y) for k, y in checked) > 0.9 * len(checked)
     assert not any(r.kept for r in got if r.base_failed)
 
 
+def test_quality_of_rows_not_fitted_on(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    seen = {r.doc_id for r in samples.labelled(docs, labels, "quality", quality.TRAIN_ROWS).select("doc_id").collect()}
+    label = {r.doc_id: r.quality for r in labels.collect() if r.doc_id not in seen}
+    got = [r for r in quality.quality(spark, docs, labels).collect() if r.doc_id in label]
+    checked = [(r.probability >= quality.KEEP_AT, label[r.doc_id]) for r in got]
+    assert len(checked) > 500 and sum(k == bool(y) for k, y in checked) > 0.95 * len(checked)
+    # calibrated: mean probabilities are near the shares
+    p, y = np.array([r.probability for r in got]), np.array([label[r.doc_id] for r in got])
+    assert abs(p.mean() - y.mean()) < 0.03
+
+
+def test_character_grams():
+    """Windows of four characters, whatever their bytes, that lie in one text."""
+    texts = ["aé日b𝄞c", "abc", "", "x" * 9]
+    raw = [t.encode() for t in texts]
+    buf, off = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    code, at = quality.characters(buf, off)
+    assert [code[a:b].tolist() for a, b in zip(at, at[1:])] == [[ord(c) for c in t] for t in texts]
+    _, h, of = quality.base(buf, off)
+    bucket, ends = quality.grams(buf, off, h, of)[2]
+    assert np.diff(ends).tolist() == [3, 0, 0, 6] and len(bucket) == 9 and len(set(bucket[3:].tolist())) == 1 and len(set(bucket.tolist())) == 4
+
+
 def test_quality_without_labels(spark, edges):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.kept for r in quality.quality(spark, edges, labels).where("not base_failed").collect()} <= {True}

@@ -69,12 +69,9 @@ def test_lines_and_windows():
 
 def test_phrases():
     a, b = complements()
-
-    class Block:
-        value = decontamination.Phrases(["1"], [a])
-
     raw, off = buffer(b, a)
-    assert [len(s) for s in decontamination.Spans([Block], raw, off).spans] == [0, 1]
+    found = decontamination.Found(decontamination.Phrases(["1"], [a]), raw, off)
+    assert found.text.tolist() == [1] and found.items == [set(), {"1"}]
 
 
 def test_words_of_the_language_model():

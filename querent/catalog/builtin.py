@@ -35,6 +35,8 @@ RELATIONS = [
     ("fk_nation_region", "nation", "region", "n_regionkey", "r_regionkey"),
     ("fk_labels_documents", "labels", "documents", "doc_id", "doc_id"),
     ("fk_events_customer", "events", "customer", "user_id", "c_custkey"),
+    # the keys of regions are those of the first nations, their hubs
+    ("fk_nation_hub", "nation", "nation", "n_regionkey", "n_nationkey"),
 ]
 LINKS = {
     "same_customer": ("fk_orders_customer", "fk_events_customer"),
@@ -45,8 +47,11 @@ LINKS = {
     "same_region": ("fk_nation_region",),
     "same_document": ("fk_labels_documents",),
     "lives_in": ("fk_customer_nation",),
+    "hub": ("fk_nation_hub",),
+    "same_turn": ("fk_turn",),
 }
-INVERSE = {"home_of": ("fk_customer_nation",)}
+INVERSE = {"home_of": ("fk_customer_nation",), "hub_of": ("fk_nation_hub",)}
+COMPOSITE = [("fk_turn", "conversations", "conversations", ("conv_id", "turn"), ("conv_id", "turn"))]
 
 
 def catalog() -> Catalog:
@@ -57,7 +62,7 @@ def catalog() -> Catalog:
         tables[name] = Table(name, cols)
         attributes = tuple(Attribute(RENAMED.get(c.name, c.name.removeprefix(prefix)), c.name) for c in cols)
         entities[entity] = Entity(entity, name, attributes)
-    relations = {n: Relation(n, a, b, (x,), (y,)) for n, a, b, x, y in RELATIONS}
+    relations = {n: Relation(n, a, b, (x,), (y,)) for n, a, b, x, y in RELATIONS} | {r[0]: Relation(*r) for r in COMPOSITE}
     links = {n: NamedLink(n, r) for n, r in LINKS.items()}
     links |= {n: NamedLink(n, r, "inverse") for n, r in INVERSE.items()}
     return Catalog(tables, relations, entities, links, name="driver")

@@ -7,10 +7,15 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from querent.sources.store import stored
+
 POINTS = 64
 GRID_BINS = 20
 
@@ -62,12 +67,43 @@ def histogram(df: DataFrame, x: str, bins: int | None = None, binwidth: float |
     return counted.select(b.start(F.col("i")).alias("bin_start"), b.start(F.col("i") + 1).alias("bin_end"), "bin_count", (F.col("bin_count") / F.lit(float(max(n, 1)) * b.width)).alias("density")).orderBy("bin_start")
 
 
+def quantiles(df: DataFrame, y: str, groups: list[str], shares: tuple[float, ...]) -> DataFrame:
+    """Exact quantiles of y for each group, as an array q, between neighbours where they fall between two.
+
+    Rows are ranked in range partitions, so that a group of any size is spread over many tasks and none is held in memory.
+    """
+    names = [f"g{i}" for i in range(len(groups))]
+    value = F.col(f"`{y}`").cast("double")
+    data = df.select(*[F.col(f"`{g}`").alias(n) for g, n in zip(groups, names)], value.alias("v"))
+    parts = stored(data.repartitionByRange(*names, "v").withColumn("part", F.spark_partition_id()))
+    sizes = parts.groupBy(*names, "part").agg(F.count(F.lit(1)).alias("n"))
+    # one row for each partition and group that it holds
+    before = F.sum("n").over(W.partitionBy(*names).orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    sizes = sizes.select(*names, "part", F.coalesce(before, F.lit(0)).alias("before"), F.sum("n").over(W.partitionBy(*names)).alias("all"))
+    ranked = parts.withColumn("rank", F.row_number().over(W.partitionBy(*names, "part").orderBy("v")) - 1)
+    same = [F.col(f"r.{n}").eqNullSafe(F.col(f"s.{n}")) for n in [*names, "part"]]
+    ranked = ranked.alias("r").join(sizes.alias("s"), reduce(and_, same)).select(*[F.col(f"r.{n}") for n in names], "v", (F.col("rank") + F.col("before")).alias("rank"), "all")
+    wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), ((F.col("all") - 1) * F.lit(q)).alias("at")) for i, q in enumerate(shares)]))
+    # the one or two rows at each place
+    near = ranked.select("*", wanted.alias("w")).where((F.col("rank") >= F.floor("w.at")) & (F.col("rank") <= F.ceil("w.at")))
+    weight = F.when(F.floor("w.at") == F.ceil("w.at"), 1.0).otherwise(1.0 - F.abs(F.col("rank") - F.col("w.at")))
+    each = near.groupBy(*names, F.col("w.i").alias("i")).agg(F.sum(F.col("v") * weight).alias("q"))
+    out = each.groupBy(*names).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda x: x.q).alias("q"))  # as many as there are shares
+    return out.toDF(*groups, "q")
+
+
 def boxplot(df: DataFrame, y: str, group: str | None = None) -> DataFrame:
     """Quartiles and fences of 1.5 interquartile ranges, no further than the extremes."""
     data = present(df, *([group] if group else []), y)
     c = F.col(f"`{y}`").cast("double")
     keys = [F.col(f"`{group}`").alias("group")] if group else []
-    q = data.groupBy(*keys).agg(F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.min(c).alias("low"), F.max(c).alias("high"))
+    ends = data.groupBy(*keys).agg(F.min(c).alias("low"), F.max(c).alias("high"))
+    found = quantiles(data, y, [group] if group else [], (0.25, 0.5, 0.75))
+    if group:
+        found = found.toDF("of", "q")
+        q = ends.join(found, F.col("group").eqNullSafe(F.col("of")))
+    else:
+        q = ends.crossJoin(found)  # one row each
     q1, q3 = F.col("q")[0], F.col("q")[2]
     out = q.select(*(["group"] if group else []), q1.alias("q1"), F.col("q")[1].alias("median"), q3.alias("q3"), F.greatest("low", q1 - 1.5 * (q3 - q1)).alias("lower"), F.least("high", q3 + 1.5 * (q3 - q1)).alias("upper"))
     return out.orderBy("group") if group else out
@@ -146,13 +182,16 @@ def violin(df: DataFrame, y: str, group: str | None = None, points: int | None =
 
 AGGREGATES = {
     "sum": F.sum, "mean": lambda c: F.avg(c.cast("double")), "avg": lambda c: F.avg(c.cast("double")), "min": F.min, "max": F.max,
-    "median": lambda c: F.percentile(c.cast("double"), 0.5), "count": F.count,
+    "count": F.count,
 }
 
 
 def aggregate(df: DataFrame, y: str, how: str, groups: list[str]) -> DataFrame:
     """One value of y for each group of the other mapped columns; groups with a null are left out."""
-    if how not in AGGREGATES:
-        raise StatError(f"unknown aggregate {how}; there are {', '.join(AGGREGATES)}")
+    if how not in AGGREGATES and how != "median":
+        raise StatError(f"unknown aggregate {how}; there are {', '.join([*AGGREGATES, 'median'])}")
     data = present(df, *groups, y)
-    return data.groupBy(*[F.col(f"`{g}`") for g in groups]).agg(AGGREGATES[how](F.col(f"`{y}`")).alias(y)).orderBy(*[F.col(f"`{g}`") for g in groups])
+    keys = [F.col(f"`{g}`") for g in groups]
+    if how == "median":
+        return quantiles(data, y, groups, (0.5,)).select(*keys, F.col("q")[0].alias(y)).orderBy(*keys)
+    return data.groupBy(*keys).agg(AGGREGATES[how](F.col(f"`{y}`")).alias(y)).orderBy(*keys)

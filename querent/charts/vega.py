@@ -78,16 +78,25 @@ def plain(x):
     return x if x is None or isinstance(x, (str, int, float, bool)) else str(x)
 
 
+#: position settings and how they stack
+POSITIONS = {"identity": None, "dodge": None, "stack": "zero", "fill": "normalize"}
+#: what the two places of a plane are called, by coordinate system
+PLANES = {"polar": {"x": "radius", "y": "theta"}, "map": {"x": "longitude", "y": "latitude"}}
+
+
+def plane(projection: t.Projection | None) -> dict[str, str]:
+    """Names of channels under a coordinate system."""
+    if projection is None:
+        return {}
+    if projection.system == "cartesian":
+        return dict(zip(projection.aesthetics, "xy")) if len(projection.aesthetics) > 1 else {}
+    return PLANES.get("map" if is_map(projection) else projection.system, {})
+
+
 def channel_name(name: str, projection: t.Projection | None) -> str:
-    """A channel's name in the specification, under a coordinate system."""
-    if projection is not None and projection.system == "cartesian" and len(projection.aesthetics) >= 2 and name in projection.aesthetics[:2]:
-        return "xy"[projection.aesthetics.index(name)]
-    out = ALIASES.get(name, name)
-    if projection is not None and projection.system == "polar":
-        return {"y": "theta", "x": "radius"}.get(out, out)
-    if is_map(projection):
-        return {"x": "longitude", "y": "latitude"}.get(out, out)
-    return out
+    """A channel's name in the specification."""
+    names, usual = plane(projection), ALIASES.get(name, name)
+    return names.get(name) or names.get(usual) or usual
 
 
 def map_name(system: str) -> str | None:
@@ -211,7 +220,13 @@ class Emitter:
             out["scale"] = scale
         guide = out.setdefault("axis" if channel in ("x", "y") else "legend", {})
         if "breaks" in settings:
-            guide["values"] = list(settings["breaks"]) if isinstance(settings["breaks"], tuple) else settings["breaks"]
+            breaks = settings["breaks"]
+            if isinstance(breaks, tuple):
+                guide["values"] = list(breaks)
+            elif isinstance(breaks, (int, float)) and not isinstance(breaks, bool):
+                guide["tickCount"] = breaks
+            else:
+                raise ChartError("breaks is a number of ticks or an array of places")
         if s.renaming:
             if any(k == "*" for k, _ in s.renaming):
                 raise ChartError("RENAMING of the wildcard * is not possible")
@@ -255,22 +270,15 @@ class Emitter:
         return out
 
     def position(self, how: str | None, encoding: dict) -> None:
-        if how is None:
-            return
+        if how is not None and how not in POSITIONS:
+            raise ChartError(f"unknown position {how}")
         value = next((c for c in ("y", "x") if encoding.get(c, {}).get("type") == "quantitative"), "y")
-        if value not in encoding:
+        if how in (None, "identity") or value not in encoding:
             return
-        if how == "stack":
-            encoding[value]["stack"] = "zero"
-        elif how == "fill":
-            encoding[value]["stack"] = "normalize"
-        elif how in ("dodge", "identity"):
-            encoding[value]["stack"] = None
-            group = encoding.get("color") or encoding.get("fill")
-            if how == "dodge" and group and "field" in group:
-                encoding["xOffset" if value == "y" else "yOffset"] = {"field": group["field"]}
-        else:
-            raise ChartError(f"unknown position {how}")
+        encoding[value]["stack"] = POSITIONS[how]
+        group = encoding.get("color") or encoding.get("fill")
+        if how == "dodge" and group and "field" in group:
+            encoding["xOffset" if value == "y" else "yOffset"] = {"field": group["field"], "type": "nominal"}
 
     def placed(self, layer: t.Layer) -> dict:
         encoding: dict[str, Any] = {}
@@ -416,6 +424,14 @@ def wanted(layer: t.Layer) -> str | None:
     return layer.mark if layer.mark in STATISTICS else None
 
 
+def drawn(df) -> list[dict]:
+    """The rows that a layer draws."""
+    rows = [r.asDict() for r in df.limit(MAX_ROWS + 1).collect()]
+    if len(rows) > MAX_ROWS:
+        raise ChartError(f"a chart draws at most {MAX_ROWS} rows; aggregate them or use a statistic")
+    return rows
+
+
 def computed(layer: t.Layer, mappings: dict[str, t.Mapping], df, columns: dict[str, OutputColumn]) -> Source:
     """Runs a layer's statistic."""
     settings = dict(layer.settings)
@@ -443,7 +459,7 @@ def computed(layer: t.Layer, mappings: dict[str, t.Mapping], df, columns: dict[s
         groups = list(dict.fromkeys(m.value for c, m in mappings.items() if not m.literal and c != "y"))
         out = stats.aggregate(df, need("y"), settings["aggregate"], groups)
     kept = {n: columns[n] for n in out.columns if n in columns}
-    return Source(kept, [r.asDict() for r in out.collect()])
+    return Source(kept, drawn(out))
 
 
 def render(analysis, typing, df) -> str:
@@ -459,9 +475,7 @@ def render(analysis, typing, df) -> str:
     results = {id(x): computed(x, probe.mappings(x), df, columns) for x in with_statistic}
     rows: list[dict] = []
     if any(not wanted(x) and not x.placed for x in layers):
-        rows = [r.asDict() for r in df.limit(MAX_ROWS + 1).collect()]
-        if len(rows) > MAX_ROWS:
-            raise ChartError(f"a chart draws at most {MAX_ROWS} rows; aggregate them or use a statistic")
+        rows = drawn(df)
     return json.dumps(Emitter(chart, Source(columns, rows), results).spec(), ensure_ascii=False)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -84,11 +85,21 @@ class Engine:
         return Compiler(self.spark, a, types, self.backend).query()
 
     def sql(self, text: str) -> DataFrame:
-        """Raw SQL over the catalog's tables, as temporary views of their names."""
-        for name in self.catalog.tables:
-            if name in text:
+        """Raw SQL over the catalog's tables by their names. Views of the session that have such a name stay as they are."""
+        plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+        used = set(re.findall(r"'UnresolvedRelation \[([^\],]+)\]", plan.toString())) & set(self.catalog.tables)
+        mine = {t.name for t in self.spark.catalog.listTables() if t.isTemporary} & used
+        before = {name: self.spark.table(name) for name in mine}
+        try:
+            for name in used:
                 self.backend.frame(name).createOrReplaceTempView(name)
-        return self.spark.sql(text)
+            return self.spark.sql(text)
+        finally:
+            for name in used:
+                if name in before:
+                    before[name].createOrReplaceTempView(name)
+                else:
+                    self.spark.catalog.dropTempView(name)
 
     def explain(self, text: str, values: dict | None = None) -> str:
         """The formatted plan of a query."""

@@ -60,6 +60,13 @@ def flagged(pattern: Column, flags) -> Column:
     return F.concat(F.lit(f"(?{keep})"), pattern) if keep else pattern
 
 
+def part_of(s: Column, start: Column, size: Column | None = None) -> Column:
+    """A part of a text; place 0 stands before the first character and takes one of the size."""
+    if size is None:
+        return F.substr(s, start)
+    return F.substr(s, start, F.when(start == 0, F.greatest(size - 1, F.lit(0))).otherwise(size).cast("int"))
+
+
 def text_functions(r: Registry) -> None:
     for n in ("char_length", "character_length", "length"):
         define(r, n, "s:like", INTEGER, lambda s: F.char_length(s))
@@ -70,7 +77,7 @@ def text_functions(r: Registry) -> None:
     for n, f in (("trim", F.btrim), ("btrim", F.btrim), ("ltrim", F.ltrim), ("rtrim", F.rtrim)):
         define(r, n, "s:text [chars:text]", TEXT, lambda s, chars=None, f=f: f(s) if chars is None else f(s, chars))
     for n in ("substr", "substring"):
-        define(r, n, "s:text start:int [len:int]", TEXT, lambda s, start, size=None: F.substr(s, start) if size is None else F.substr(s, start, size))
+        define(r, n, "s:text start:int [len:int]", TEXT, part_of)
     define(r, "left", "s:text n:int", TEXT, lambda s, n: F.left(s, n))
     define(r, "right", "s:text n:int", TEXT, lambda s, n: F.right(s, n))
     define(r, "repeat", "s:text n:int", TEXT, lambda s, n: F.repeat(s, n.cast("int")))

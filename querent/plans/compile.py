@@ -24,9 +24,8 @@ from querent.functions.registry import AGGREGATE, Given
 from querent.lang import tree as t
 from querent.plans.analyze import Analysis, BlockInfo, SelectInfo, SetInfo
 from querent.plans.typing import OPERATORS, Typing
-from querent.sources.store import stored
+from querent.sources.store import Rounds
 
-ROUNDS = 100
 FLIPPED = {"=": "=", "<": ">", "<=": ">=", ">": "<", ">=": "<="}
 
 
@@ -91,24 +90,30 @@ class Compiler:
         return left.subtract(right) if op == "MINUS" else left.intersect(right)
 
     def recursive(self, b: BlockInfo) -> DataFrame:
-        """The rows of the branches without the block, then again and again what its other branches make of the newest rows."""
+        """The rows of the branches without the block, then again and again what its other branches make of the newest rows, until there are none."""
         top = b.body
         uses = lambda s: any(x.block is b for x in s.bindings.values())
         if top.op not in ("UNION", "UNIONALL") or any(map(uses, top.left.selects())):
             raise QueryError(f"recursive block {b.name} is a UNION or UNIONALL of a start and the branch that uses it", b.node.span, self.a.text)
-        total = stored(self.set(top.left))
-        types, newest = total.schema, total
-        for _ in range(ROUNDS):
+        start = self.set(top.left)
+        distinct = top.op == "UNION"
+        rounds = Rounds(self.spark)
+        newest = rounds.add(start.distinct() if distinct else start)
+        names = newest.columns
+        while not newest.isEmpty():
             self.blocks[b.name] = newest
-            newest = self.set(top.right).toDF(*total.columns)
-            newest = newest.select(*[F.col(f.name).cast(f.dataType) for f in types])
-            if top.op == "UNION":
-                newest = newest.distinct().subtract(total)
-            newest = stored(newest)
-            if newest.isEmpty():
-                return total
-            total = total.unionAll(newest)
-        raise QueryError(f"recursive block {b.name} did not end after {ROUNDS} rounds", b.node.span, self.a.text)
+            after = self.set(top.right).toDF(*names)
+            after = after.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in newest.schema])
+            if distinct:
+                after = self.unseen(after.distinct(), rounds.all())
+            newest = rounds.add(after)
+        return rounds.all()
+
+    def unseen(self, df: DataFrame, seen: DataFrame) -> DataFrame:
+        """Rows of df that seen does not hold; nulls are equal to each other."""
+        right = seen.toDF(*[f"__{i}" for i in range(len(seen.columns))])
+        same = [F.col(f"`{c}`").eqNullSafe(F.col(f"__{i}")) for i, c in enumerate(df.columns)]
+        return df.join(right, reduce(and_, same), "left_anti")
 
     # selects
 

@@ -13,10 +13,10 @@ EXAMPLES: dict[str, tuple[str, str]] = {
     ),
     "scan_project": ("FIND nations n FETCH n.nationkey k, n.name name", "SELECT n_nationkey AS k, n_name AS name FROM nation"),
     "filter_comparisons": (
-        "FIND parts p FILTER p.size >= 10 AND p.size < 40 AND p.retailprice > 1000 AND p.retailprice <= 1500 AND NOT p.brand = 'Brand#11' FETCH p.partkey, p.size, p.retailprice",
-        "SELECT p_partkey AS partkey, p_size AS size, p_retailprice AS retailprice FROM part WHERE p_size >= 10 AND p_size < 40 AND p_retailprice > 1000 AND p_retailprice <= 1500 AND p_brand <> 'Brand#11'",
+        "FIND parts p FILTER p.size >= 10 AND p.size < 40 AND p.retailprice > 910 AND p.retailprice <= 990.5 AND NOT p.brand = 'Brand#11' FETCH p.partkey, p.size, p.retailprice",
+        "SELECT p_partkey AS partkey, p_size AS size, p_retailprice AS retailprice FROM part WHERE p_size >= 10 AND p_size < 40 AND p_retailprice > 910 AND p_retailprice <= 990.5 AND p_brand <> 'Brand#11'",
     ),
-    "filter_like": ("FIND parts p FILTER p.type LIKE '%A%' AND NOT p.name LIKE 'a_%' AND p.name like '%1%' FETCH p.partkey, p.type, p.name", "SELECT p_partkey AS partkey, p_type AS type, p_name AS name FROM part WHERE p_type LIKE '%A%' AND p_name NOT LIKE 'a_%' AND p_name LIKE '%1%'"),
+    "filter_like": ("FIND parts p FILTER p.type LIKE '%O%' AND NOT p.name LIKE 'b_%' AND p.name like '%g%' FETCH p.partkey, p.type, p.name", "SELECT p_partkey AS partkey, p_type AS type, p_name AS name FROM part WHERE p_type LIKE '%O%' AND p_name NOT LIKE 'b_%' AND p_name LIKE '%g%'"),
     "filter_in_list": ("FIND orders o FILTER o.orderstatus IN ('F', 'O') AND NOT o.orderkey IN (1, 2, 3) FETCH o.orderkey, o.orderstatus", "SELECT o_orderkey AS orderkey, o_orderstatus AS orderstatus FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_orderkey NOT IN (1, 2, 3)"),
     "filter_in_subselect": (
         "FIND customers c FILTER c.custkey IN (FIND orders o FILTER o.totalprice > 400000 FETCH o.custkey) FETCH c.custkey, c.name",
@@ -126,8 +126,8 @@ EXAMPLES: dict[str, tuple[str, str]] = {
         "SELECT r_regionkey AS k FROM region UNION (SELECT c_nationkey FROM customer WHERE c_acctbal > 9500 INTERSECT SELECT s_nationkey FROM supplier)",
     ),
     "set_in_parentheses": (
-        "FIND nations n FETCH n.nationkey k MINUS (FIND customers c FILTER c.acctbal > 9000 FETCH c.nationkey UNION FIND suppliers s FILTER s.acctbal > 9000 FETCH s.nationkey)",
-        "SELECT n_nationkey AS k FROM nation EXCEPT (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000 UNION SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)",
+        "FIND customers c FETCH c.nationkey k, c.mktsegment s MINUS (FIND customers c FILTER c.acctbal > 9000 FETCH c.nationkey, c.mktsegment UNION FIND customers c FILTER c.acctbal < -500 FETCH c.nationkey, c.mktsegment)",
+        "SELECT c_nationkey AS k, c_mktsegment AS s FROM customer EXCEPT (SELECT c_nationkey, c_mktsegment FROM customer WHERE c_acctbal > 9000 UNION SELECT c_nationkey, c_mktsegment FROM customer WHERE c_acctbal < -500)",
     ),
     "block": (
         "WITH large AS (FIND orders o FILTER o.totalprice > 300000 FETCH o.custkey custkey, count(o) n) FIND large x FILTER x.n > 1 FETCH x.custkey, x.n",
@@ -236,6 +236,92 @@ EXAMPLES: dict[str, tuple[str, str]] = {
         "SELECT l_orderkey AS k, l_linenumber AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE epoch(l_shipdate - o_orderdate) > 60 * 86400 AND CAST(l_shipdate AS DATE) - CAST(o_orderdate AS DATE) < 90",
     ),
     "labels_of_documents": ("FIND documents d, labels l FETCH d.lang lang, l.toxic toxic, count(d) n", "SELECT lang, toxic, count(doc_id) AS n FROM documents JOIN labels USING (doc_id) GROUP BY lang, toxic"),
+    "recursive_through_link": (
+        """WITH tree AS (FIND nations n FILTER n.nationkey < 2 FETCH n.nationkey nationkey, n.name name, 0 depth
+        UNIONALL FIND tree t, t VIA hub_of nations m FILTER t.depth < 3 FETCH m.nationkey, m.name, t.depth + 1)
+        FIND tree t FETCH t.nationkey k, t.name, t.depth, count(t.name) n""",
+        "WITH RECURSIVE tree AS (SELECT n_nationkey AS k, n_name AS name, 0 AS depth FROM nation WHERE n_nationkey < 2 UNION ALL SELECT m.n_nationkey, m.n_name, depth + 1 FROM tree JOIN nation m ON m.n_regionkey = k WHERE depth < 3) SELECT k, name, depth, count(name) AS n FROM tree GROUP BY ALL",
+    ),
+    "recursive_union_distinct": (
+        "WITH step AS (FIND nations n FILTER n.nationkey < 10 FETCH n.regionkey k UNION FIND step s FILTER s.k < 8 FETCH s.k + 2) FIND step s FETCH s.k k",
+        "WITH RECURSIVE step AS (SELECT n_regionkey AS k FROM nation WHERE n_nationkey < 10 UNION SELECT k + 2 FROM step WHERE k < 8) SELECT CAST(k AS INTEGER) AS k FROM step",
+    ),
+    "composite_key_link": (
+        "FIND conversations a, a VIA same_turn conversations b FILTER a.turn < 3 FETCH a.conv_id c, a.turn t, count(b) n",
+        "SELECT a.conv_id AS c, a.turn AS t, count(*) AS n FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn WHERE a.turn < 3 GROUP BY ALL",
+    ),
+    "count_rows_and_values": (
+        "FIND customers c, c + orders o FILTER o.totalprice > 300000 FETCH c.mktsegment s, count() rows, count(o.totalprice) vals, count(o) n, count(case(c.acctbal > 5000, 1)) rich",
+        "SELECT c_mktsegment AS s, count(*) AS rows, count(o_totalprice) AS vals, count(o_orderkey) AS n, count(CASE WHEN c_acctbal > 5000 THEN 1 END) AS rich FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 300000 GROUP BY 1",
+    ),
+    "window_two_keys": (
+        "FIND orders o FETCH o.orderkey, row_number() OVER (PARTITION o.orderstatus ORDER o.orderpriority, o.orderkey DESC) rn, round(sum(o.totalprice) OVER (PARTITION o.orderstatus ORDER o.orderpriority, o.orderkey DESC ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING), 2) ahead",
+        "SELECT o_orderkey AS orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority, o_orderkey DESC) AS rn, round(sum(o_totalprice) OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority, o_orderkey DESC ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING), 2) AS ahead FROM orders",
+    ),
+    "order_nulls_last": (
+        "FIND customers c FETCH case(c.acctbal > 9000, c.acctbal) top DESC 1, c.custkey k ASC 2 LIMIT 400",
+        "SELECT CASE WHEN c_acctbal > 9000 THEN c_acctbal END AS top, c_custkey AS k FROM customer ORDER BY top DESC NULLS LAST, k LIMIT 400",
+    ),
+    "order_nulls_last_ascending": (
+        "FIND customers c FETCH case(c.acctbal > 2000, c.acctbal) low ASC 1, c.custkey k ASC 2 LIMIT 300",
+        "SELECT CASE WHEN c_acctbal > 2000 THEN c_acctbal END AS low, c_custkey AS k FROM customer ORDER BY low ASC NULLS LAST, k LIMIT 300",
+    ),
+    "date_plus_time": (
+        """FIND events e FETCH e.event_id id, date(e.ts) + time(e.ts) t, to_text(date(e.ts) + "06:30:00") h""",
+        "SELECT event_id AS id, date_trunc('second', ts) AS t, strftime(CAST(ts AS DATE) + INTERVAL 390 MINUTE, '%Y-%m-%d %H:%M:%S') AS h FROM events",
+    ),
+    "time_minus_time": (
+        """FIND events e FILTER time(e.ts) - "06:00:00" > 2h FETCH e.event_id id, time(e.ts) - "06:00:00" s""",
+        "SELECT event_id AS id, CAST(epoch(date_trunc('second', ts) - date_trunc('day', ts)) - 21600 AS BIGINT) AS s FROM events WHERE epoch(date_trunc('second', ts) - date_trunc('day', ts)) - 21600 > 7200",
+    ),
+    "times_duration": (
+        "FIND orders o FETCH o.orderkey k, date(o.order_date) + 3 * 1w d, o.order_date + 2 * 6h t, o.order_date - (1d + 2 * 12h) u",
+        "SELECT o_orderkey AS k, CAST(CAST(o_orderdate AS DATE) + INTERVAL 21 DAY AS TIMESTAMP) AS d, o_orderdate + INTERVAL 12 HOUR AS t, o_orderdate - INTERVAL 48 HOUR AS u FROM orders",
+    ),
+    "date_against_timestamp": (
+        """FIND events e FILTER date(e.ts) <= e.ts AND e.ts < "2024-01-10" AND NOT date(e.ts) = e.ts FETCH e.event_id id""",
+        "SELECT event_id AS id FROM events WHERE CAST(ts AS DATE) <= ts AND ts < TIMESTAMP '2024-01-10' AND CAST(ts AS DATE) <> ts",
+    ),
+    "to_interval_units": (
+        "FIND orders o FETCH o.orderkey k, date(o.order_date) + to_interval(2, 'MONTH') m, o.order_date + to_interval(0, 1, 2, 3, 4, 5) t",
+        "SELECT o_orderkey AS k, CAST(CAST(o_orderdate AS DATE) + INTERVAL 2 MONTH AS TIMESTAMP) AS m, o_orderdate + INTERVAL 1 MONTH + INTERVAL 2 DAY + INTERVAL 11045 SECOND AS t FROM orders",
+    ),
+    "to_time_and_timestamp": (
+        "FIND orders o FETCH o.orderkey k, hour(to_time('13:14:15')) h, minute(to_time(1, 2, 3)) m, hour(to_time('02-01', 'MI-HH24')) x, to_timestamp(year(o.order_date), 1, 31, 10, 5, 7) a, to_timestamp('31.01.2024 10', 'DD.MM.YYYY HH24') b, to_timestamp('31.01.2024 10', 'DD.MM.YYYY HH24', 'Asia/Tokyo') c, to_date(2024, 1, 31) d, to_date('31.01.2024', 'DD.MM.YYYY') e, minute(parse_time('01:02', 'HH24:MI')) f",
+        "SELECT o_orderkey AS k, 13 AS h, 2 AS m, 1 AS x, make_timestamp(year(o_orderdate), 1, 31, 10, 5, 7.0) AS a, TIMESTAMP '2024-01-31 10:00:00' AS b, TIMESTAMP '2024-01-31 01:00:00' AS c, DATE '2024-01-31' AS d, DATE '2024-01-31' AS e, 2 AS f FROM orders",
+    ),
+    "string_start_zero": (
+        "FIND nations n FETCH n.nationkey k, substr(n.name, 0, 3) a, substr(n.name, -3, 2) b, substring(n.name, 0) c, substr(n.name, 1, 0) d, initcap(lower(n.name)) e, overlay(n.name, 'xy', 2) f, printf('%s-%d', n.name, n.nationkey) g",
+        "SELECT n_nationkey AS k, substr(n_name, 0, 3) AS a, substr(n_name, -3, 2) AS b, substring(n_name, 0) AS c, substr(n_name, 1, 0) AS d, upper(left(n_name, 1)) || lower(substr(n_name, 2)) AS e, left(n_name, 1) || 'xy' || substr(n_name, 4) AS f, printf('%s-%d', n_name, n_nationkey) AS g FROM nation",
+    ),
+    "string_agg_in_order": (
+        "WITH s AS (FIND nations n, regions r FETCH r.name region, n.name nation, string_agg(n.name, '|') OVER (PARTITION r.name ORDER n.name) names) FIND s x FETCH x.region, x.nation, x.names",
+        "SELECT r_name AS region, n_name AS nation, string_agg(n_name, '|') OVER (PARTITION BY r_name ORDER BY n_name) AS names FROM nation JOIN region ON n_regionkey = r_regionkey",
+    ),
+    "mathematics_more": (
+        "FIND customers c FILTER c.custkey < 200 FETCH c.custkey k, round(ln(c.custkey + 1), 8) l, round(exp(c.custkey / 100), 8) e, round(sin(c.custkey), 8) s, round(cos(c.custkey), 8) o, round(tan(c.custkey), 6) t, round(atan2(c.custkey, 7), 8) a, round(log10(c.custkey + 1), 8) g, sign(c.acctbal) i, bit_count(c.custkey) b, greatest(c.custkey, 50) h, least(c.custkey, 50) m, to_number('1,234.50', '9,999.00') n",
+        "SELECT c_custkey AS k, round(ln(c_custkey + 1), 8) AS l, round(exp(c_custkey / 100), 8) AS e, round(sin(c_custkey), 8) AS s, round(cos(c_custkey), 8) AS o, round(tan(c_custkey), 6) AS t, round(atan2(c_custkey, 7), 8) AS a, round(log10(c_custkey + 1), 8) AS g, CAST(sign(c_acctbal) AS DOUBLE) AS i, CAST(bit_count(c_custkey) AS INTEGER) AS b, greatest(c_custkey, 50) AS h, least(c_custkey, 50) AS m, CAST(1234.50 AS DECIMAL(38, 10)) AS n FROM customer WHERE c_custkey < 200",
+    ),
+    "decimals": (
+        "FIND orders o FILTER o.orderkey < 500 FETCH o.orderkey k, to_decimal(o.totalprice, 12, 2) + 1 a, to_decimal(o.totalprice, 12, 2) * to_decimal(2, 4, 1) m, to_text(to_decimal(o.totalprice, 12, 2)) t",
+        "SELECT o_orderkey AS k, CAST(o_totalprice AS DECIMAL(12, 2)) + 1 AS a, CAST(CAST(o_totalprice AS DECIMAL(12, 2)) * 2 AS DECIMAL(17, 3)) AS m, CAST(CAST(o_totalprice AS DECIMAL(12, 2)) AS VARCHAR) AS t FROM orders WHERE o_orderkey < 500",
+    ),
+    "filter_isnull": (
+        "FIND customers c, c + orders o FILTER o.totalprice > 490000 AND c.custkey < 700 FETCH c.custkey k, count(o) n, coalesce(max(o.totalprice), -1) m",
+        "SELECT c_custkey AS k, count(o_orderkey) AS n, coalesce(max(o_totalprice), -1) AS m FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 490000 WHERE c_custkey < 700 GROUP BY 1",
+    ),
+    "duration_sums": (
+        "FIND lineitems l, orders o FETCH l.returnflag f, sum(l.ship_date - o.order_date) s, max(l.ship_date - o.order_date) m",
+        "SELECT l_returnflag AS f, CAST(sum(epoch(l_shipdate - o_orderdate)) AS BIGINT) AS s, CAST(max(epoch(l_shipdate - o_orderdate)) AS BIGINT) AS m FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1",
+    ),
+    "conversions_more": (
+        "FIND orders o FETCH o.orderkey k, to_smallint('12') s, to_bigint(o.orderkey) b, to_varchar(o.orderstatus, 5) v, to_text(o.order_date) t, to_boolean('false') f, to_char(o.order_date, 'DD.MM.YYYY') c, to_number('12', '99') n",
+        "SELECT o_orderkey AS k, CAST(12 AS SMALLINT) AS s, o_orderkey AS b, o_orderstatus AS v, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS t, false AS f, strftime(o_orderdate, '%d.%m.%Y') AS c, CAST(12 AS DECIMAL(38, 10)) AS n FROM orders",
+    ),
+    "rollup_expression": (
+        "FIND orders o FETCH year(o.order_date) y, o.orderstatus s, count(o) n, round(sum(o.totalprice), 2) t ROLLUP",
+        "SELECT CAST(year(o_orderdate) AS INTEGER) AS y, o_orderstatus AS s, count(o_orderkey) AS n, round(sum(o_totalprice), 2) AS t FROM orders GROUP BY ROLLUP (1, 2)",
+    ),
     "no_fetch": ("FIND regions r FILTER r.regionkey < 3", "SELECT 1 AS _1 FROM region WHERE r_regionkey < 3"),
 }
 

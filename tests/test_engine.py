@@ -4,12 +4,14 @@ import datetime as dt
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from querent.catalog.builtin import catalog
 from querent.catalog.schema import Attribute, Catalog, Column, Entity, NamedLink, Relation, Table
 from querent.catalog.types import Type, check_encoding
+from querent.charts import stats
 from querent.engine import Engine, driver_engine
 from querent.errors import InvalidQuery, QueryError
 from querent.functions import temporal as tm
@@ -196,14 +198,44 @@ def test_hierarchy(spark):
         text = f"""WITH chain AS (FIND staff s FILTER s.boss ISNULL FETCH s.id id, s.name name, 0 depth {op} FIND chain c, VIA leads staff s FETCH s.id, s.name, c.depth + 1)
         FIND chain c FETCH c.name, c.depth"""
         assert sorted(map(tuple, engine.query(text).collect())) == [("a", 0), ("b", 1), ("c", 1), ("d", 2), ("e", 3)]
-    paths = """WITH roots AS (FIND staff e FILTER e.boss ISNULL FETCH e.name name, to_text(NULL) boss, to_integer(1) lvl, lpad(to_text(e.id), 3, '0') path
-    UNIONALL FIND staff e, e VIA reports_to roots r FETCH e.name, r.name, to_integer(r.lvl + 1), concat(r.path, '/', lpad(to_text(e.id), 3, '0')))
-    FIND roots r FETCH concat(rpad(' ', r.lvl * 2, ' '), r.name) tree, r.boss, r.path ASC"""
-    assert [tuple(r) for r in engine.query(paths).collect()] == [("  a", None, "001"), ("    b", "a", "001/002"), ("      d", "b", "001/002/004"), ("        e", "d", "001/002/004/005"), ("    c", "a", "001/003")]
+    upwards = """WITH line AS (FIND staff s FILTER s.name = 'e' FETCH s.id id, s.boss boss, s.name names
+    UNIONALL FIND line l, l VIA reports_to staff up FETCH up.id, up.boss, concat(l.names, ' under ', up.name))
+    FIND line l FILTER l.boss ISNULL FETCH l.names"""
+    assert [r.names for r in engine.query(upwards).collect()] == ["e under d under b under a"]
     with pytest.raises(QueryError, match="UNION"):
         engine.query("WITH c AS (FIND staff s FETCH s.id MINUS FIND c x FETCH x.id) FIND c x FETCH x.id")
 
 
+def test_recursion_is_as_deep_as_the_data(spark):
+    """More rounds than any fixed limit, and a start with duplicates."""
+    engine = hierarchy(spark)
+    deep = engine.query("WITH step AS (FIND staff s FILTER s.id = 1 FETCH s.id k UNIONALL FIND step s FILTER s.k < 107 FETCH s.k + 1) FIND step s FETCH count(s.k) n, max(s.k) m").first()
+    assert tuple(deep) == (107, 107)
+    text = "WITH step AS (FIND staff s FETCH s.boss k UNION FIND step s FILTER s.k < 6 FETCH s.k + 1) FIND step s FETCH s.k k"
+    assert sorted((r.k for r in engine.query(text).collect()), key=str) == [1, 2, 3, 4, 5, 6, None]
+
+
+def test_raw_sql_leaves_views_alone(spark, engine):
+    spark.range(3).createOrReplaceTempView("nation")
+    try:
+        assert engine.sql("SELECT count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey").first().n == 25
+        assert spark.table("nation").count() == 3
+        assert not spark.catalog.tableExists("region")
+    finally:
+        spark.catalog.dropTempView("nation")
+
+
+def test_exact_quantiles_of_groups(spark):
+    rows = [(g, float((i * 7919) % 1000)) for g, n in (("a", 1), ("b", 2), ("c", 999), ("d", 40)) for i in range(n)]
+    rows += [("e", 5.0)] * 30
+    df = spark.createDataFrame(rows, "g string, y double").repartition(7)
+    got = {r.g: list(r.q) for r in stats.quantiles(df, "y", ["g"], (0.0, 0.25, 0.5, 0.9, 1.0)).collect()}
+    for g in "abcde":
+        want = np.quantile([y for x, y in rows if x == g], [0, 0.25, 0.5, 0.9, 1])
+        assert np.allclose(got[g], want), g
+    assert [list(r.q) for r in stats.quantiles(df, "y", [], (0.5,)).collect()] == [[float(np.median([y for _, y in rows]))]]
+
+
 def test_hidden_join_columns(spark):
     c = catalog()
     entities = {"orders": Entity("orders", "orders", (Attribute("price", "o_totalprice"),)), "people": Entity("people", "customer", (Attribute("name", "c_name"),))}
@@ -293,7 +325,11 @@ def test_chart_structure(engine):
     swapped = chart(engine, base + " DRAW point PROJECT y, x TO cartesian")
     assert swapped["encoding"]["x"]["field"] == "p" and swapped["encoding"]["y"]["field"] == "d"
     dodged = chart(engine, base + " DRAW bar MAPPING s AS color SETTING position => 'dodge'")["encoding"]
-    assert dodged["y"]["stack"] is None and dodged["xOffset"] == {"field": "s"}
+    assert dodged["y"]["stack"] is None and dodged["xOffset"] == {"field": "s", "type": "nominal"}
+    same = chart(engine, base + " DRAW bar MAPPING s AS color SETTING position => 'identity'")["encoding"]
+    assert "stack" not in same["y"] and "xOffset" not in same
+    ticks = chart(engine, base + " DRAW point SCALE y SETTING breaks => 5")["encoding"]["y"]
+    assert ticks["axis"] == {"tickCount": 5}
     scaled = chart(engine, base + " DRAW point SCALE y VIA log SETTING reverse => true, breaks => [1, 10] RENAMING 1 => 'one'")["encoding"]["y"]
     assert scaled["scale"] == {"type": "log", "reverse": True} and scaled["axis"]["values"] == [1, 10] and "'one'" in scaled["axis"]["labelExpr"].replace('"', "'")
     world = chart(engine, "FIND nations n FETCH n.nationkey lng, n.regionkey lt VISUALISE lng AS lon, lt AS lat DRAW point PROJECT TO orthographic SETTING origin => (10, 50)")
@@ -302,7 +338,7 @@ def test_chart_structure(engine):
 
 @pytest.mark.parametrize(
     "rest,part",
-    [("DRAW point SETTING position => 'jitter'", "jitter"), ("DRAW point PLACE rule SETTING y => (1, 2)", "array"), ("DRAW bar SCALE x RENAMING * => 'all'", "wildcard"), ("DRAW spatial", "geometry"), ("DRAW bar MAPPING zzz AS color", "no output column"), ("DRAW bar PROJECT TO nowhere", "coordinate system"), ("DRAW point PROJECT TO crs SETTING target => 'EPSG:1'", "target")],
+    [("DRAW point SETTING position => 'jitter'", "jitter"), ("DRAW bar SETTING position => 'sideways'", "position"), ("DRAW point PLACE rule SETTING y => (1, 2)", "array"), ("DRAW bar SCALE x RENAMING * => 'all'", "wildcard"), ("DRAW spatial", "geometry"), ("DRAW bar MAPPING zzz AS color", "no output column"), ("DRAW bar PROJECT TO nowhere", "coordinate system"), ("DRAW point PROJECT TO crs SETTING target => 'EPSG:1'", "target")],
 )
 def test_chart_errors(engine, rest, part):
     result = engine.check_chart(f"FIND orders o FETCH o.orderstatus s, o.totalprice p VISUALISE s AS x, p AS y {rest}")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from querent.llm import packed, tables
 from querent.llm.packed import RARE, join_codes, pack, split_codes
 from querent.llm.seating import new_table_weight, table_counts
-from querent.llm.textbatch import IS_PLAIN, LOWER, byte_sums, expand, joined, mix, owner, pieces, span_hash, sums_by, words
+from querent.llm.textbatch import IS_PLAIN, LOWER, byte_sums, expand, give_memory_back, joined, mix, owner, pieces, span_hash, sums_by, words
 
 #: words with short codes, at most, and the share of the texts in which they are looked for; scores do not depend on it
 FREQUENT = 1 << 17
@@ -168,7 +168,7 @@ def flushed(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterat
             if at[-1] >= size:
                 yield np.concatenate(held), np.array(at), of
                 held, at, of = [], [0], []
-                pa.default_memory_pool().release_unused()
+                give_memory_back()
     if held:
         yield np.concatenate(held), np.array(at), of
 

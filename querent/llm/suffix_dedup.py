@@ -32,14 +32,14 @@ from querent.llm.textbatch import byte_sums, column_bytes, mix, recut, span_hash
 LENGTH = 200
 PLACE = 96
 #: bytes of a shard's texts
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: one of so many texts is in the sample; a class in so many of its shards is settled everywhere; classes in the list, at most
 SAMPLE = 64
 SAMPLE_SHARD_BYTES = 1 << 18
 KNOWN_FROM = 4
 KNOWN = 1 << 16
 POSITION_BITS = 23
-SEGMENT = 1 << 21
+SEGMENT = 1 << 19
 SHALLOW = 32
 FREQUENT = 64
 

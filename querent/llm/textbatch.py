@@ -6,12 +6,23 @@ bytes (more only when a single text is longer), which bounds a Python worker's m
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 PIECE_BYTES = 1 << 20
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_memory_back() -> None:
+    """Returns what the C library and Arrow keep of freed arrays, so that a worker that lives long holds only what it uses."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 PRIME = np.uint64(2**31 - 1)
 #: two bases drawn at random, once; spans of n bytes that differ collide with a chance of about (n / PRIME)**2
 BASES = (1_348_267_193, 1_891_406_771)
@@ -115,6 +126,8 @@ def joined(batches: Iterator[pa.RecordBatch], column: int, size: int = PIECE_BYT
             held, n = [], 0
     if held:
         yield pa.concat_batches(held)
+    del held
+    give_memory_back()
 
 
 def recut(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
@@ -130,6 +143,8 @@ def recut(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator
         held = held.slice(lo)
     if held is not None and held.num_rows:
         yield held
+    del held
+    give_memory_back()
 
 
 def pieces(col: pa.Array, size: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -140,6 +155,8 @@ def pieces(col: pa.Array, size: int = PIECE_BYTES) -> Iterator[tuple[int, int, n
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + size, "right")) - 1)
         yield lo, hi, buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         lo = hi
+    if len(buf) >= 4 * size:
+        give_memory_back()
 
 
 def words(buf: np.ndarray, off: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from querent.llm import packed, tables
 from querent.llm.quality import platt
-from querent.llm.textbatch import IS_ALNUM, LOWER, byte_sums, expand, joined, mix, owner, pieces, span_hash, words
+from querent.llm.textbatch import IS_ALNUM, LOWER, byte_sums, expand, give_memory_back, joined, mix, owner, pieces, span_hash, words
 
 #: examples in the index and bytes of their texts, at most; equal texts of one label count once
 EXAMPLES = 2048
@@ -198,6 +198,7 @@ class Index:
         hashes, weight, labels, ids, many, term, n = packed.unpack(state)
         self.__init__(Terms(hashes.astype(np.uint64)), weight, labels.astype(np.int64), ids.astype(np.int64))
         self.build(np.repeat(np.arange(len(labels)), many.astype(np.int64)), term.astype(np.int64), n.astype(np.int64))
+        give_memory_back()
 
     def place(self, text: np.ndarray, term: np.ndarray, w: np.ndarray) -> None:
         n = len(self.labels)

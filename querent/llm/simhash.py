@@ -236,9 +236,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     are too many to broadcast. Of equal rows, which may differ in other columns, one stays.
     """
     rows = groups(spark, docs).groupBy("root", "uid").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
-    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("best")).select(F.col("root").alias("r"), F.col("best.uid").alias("kept"))
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("best")).select(F.col("best.uid").alias("kept"))
     uid, key, goes = (tables.spare_name(docs, name) for name in ("uid", "key", "goes"))
-    told = tables.stored(rows.join(best, F.col("root") == F.col("r")).select(F.col("uid").alias(key), (F.col("uid") != F.col("kept")).alias(goes), "n").where(F.col(goes) | (F.col("n") > 1)).select(key, goes))
+    # a uid has one root, so the rows that stay are found by uid, of which no group has many
+    marked = rows.join(best, F.col("uid") == F.col("kept"), "left").select(F.col("uid").alias(key), F.col("kept").isNull().alias(goes), "n")
+    told = tables.stored(marked.where(F.col(goes) | (F.col("n") > 1)).select(key, goes))
     few = told.count() <= BROADCAST_ROWS
     keyed = docs.withColumn(uid, uid_of("doc_id", "text"))
     known = keyed.join(F.broadcast(told) if few else told, F.col(uid) == F.col(key), "left")

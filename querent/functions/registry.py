@@ -111,6 +111,11 @@ class Registry:
         given = tuple(Param(k, frozenset({v.family})) for k, v in params.items())
         return self.register(Function(name, given, lambda _: result, lambda g: F.call_function(name, *g.columns)))
 
+    def from_spark(self, name: str, params: dict[str, Type], result: Type, kind: str = AGGREGATE) -> Registry:
+        """A function that the session knows, built in or registered there by a user, as a scalar, aggregate or window function."""
+        given = tuple(Param(k, frozenset({v.family})) for k, v in params.items())
+        return self.register(Function(name, given, lambda _: result, lambda g: F.call_function(name, *g.columns), kind))
+
 
 def _families(f: Function) -> str:
     return "(" + ", ".join("ANY" if p.families == ANY else "|".join(sorted(p.families)) for p in f.params) + ")"

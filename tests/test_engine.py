@@ -259,6 +259,22 @@ def test_functions_can_be_added(spark, engine):
     assert engine.sql("SELECT count(*) AS n FROM nation").first().n == 25
 
 
+def test_aggregates_and_window_functions_can_be_added(spark, engine):
+    import pandas as pd
+
+    def spread(v: pd.Series) -> float:
+        return float(v.max() - v.min())
+
+    spark.udf.register("spread_of", F.pandas_udf(spread, "double"))
+    r = engine.registry.copy().from_spark("spread_of", {"x": Type("FLOAT")}, Type("FLOAT")).from_spark("kurtosis", {"x": Type("FLOAT")}, Type("FLOAT"))
+    mine = Engine(catalog(), spark, SF, registry=r)
+    customers = spark.read.parquet(f"{SF}/customer.parquet").groupBy("c_mktsegment")
+    got = {x.s: x.d for x in mine.query("FIND customers c FETCH c.mktsegment s, spread_of(c.acctbal) d").collect()}
+    assert got == {x[0]: x[1] for x in customers.agg(F.max("c_acctbal") - F.min("c_acctbal")).collect()}
+    some = mine.query("FIND customers c FILTER kurtosis(c.acctbal) < 0 FETCH c.mktsegment s, kurtosis(c.acctbal) k, count(c) n").collect()
+    assert {x.s: x.k for x in some} == {x[0]: x[1] for x in customers.agg(F.kurtosis("c_acctbal")).collect() if x[1] < 0}
+
+
 def test_explicit_form(engine):
     rows = lambda df: sorted(map(tuple, df.collect()))
     text = """SELECT customers c OUT c.name customer 1 GROUP c.name 1

@@ -22,11 +22,13 @@ from querent.errors import QueryError
 from querent.functions import temporal as tm
 from querent.functions.registry import AGGREGATE, Given
 from querent.lang import tree as t
-from querent.plans.analyze import Analysis, BlockInfo, SelectInfo, SetInfo
+from querent.plans.analyze import Analysis, Binding, BlockInfo, SelectInfo, SetInfo, attribute_name
 from querent.plans.typing import OPERATORS, Typing
 from querent.sources.store import Rounds
 
 FLIPPED = {"=": "=", "<": ">", "<=": ">=", ">": "<", ">=": "<="}
+#: window functions that give tied rows one value, and those that tell them apart whatever the frame
+PEERS, PLACED = {"rank", "dense_rank", "percent_rank", "cume_dist"}, {"row_number", "ntile", "lag", "lead", "first_value"}
 
 
 def column_name(alias: str, attribute: str) -> str:
@@ -62,9 +64,27 @@ class Compiler:
                 self.used |= {(e.parent, x), (e.child, y)}
         for node in [i.value for i in info.items] + info.conditions + info.having + [x for v in info.inside.values() for x in v]:
             self.used |= {(x.alias, x.name) for x in t.walk(node, into_selects=False) if isinstance(x, t.Attr)}
+            if not info.grouped and any(self.placed(x) for x in t.walk(node, into_selects=False)):
+                self.used |= {(b.alias, name) for b in info.bindings.values() for name in self.key(b)}
         for inner in info.inner.values():
             self.note(inner)
 
+    def placed(self, x) -> bool:
+        """A window call that depends on which of two rows comes first that its ORDER leaves equal."""
+        return isinstance(x, t.Call) and x.window is not None and bool(x.window.order) and x.name not in PEERS and (x.name in PLACED or x.window.frame is not None)
+
+    def key(self, b: Binding) -> list[str]:
+        """The attributes of its primary key. Of a block all, and of a table without a key what is read: rows equal in these are the same to the query."""
+        if b.block:
+            return b.block.names()
+        columns = self.catalog.tables[b.entity.table].primary_key
+        return [attribute_name(b.entity, c.name) for c in columns] or [name for name, _ in self.attributes(b) if (b.alias, name) in self.used]
+
+    def attributes(self, b: Binding) -> list[tuple[str, str]]:
+        """An entity's attributes with their columns, then @column for those that the model does not show."""
+        shown = {a.column for a in b.entity.attributes}
+        return [(a.name, a.column) for a in b.entity.attributes] + [(f"@{c.name}", c.name) for c in self.catalog.tables[b.entity.table].columns if c.name not in shown]
+
     def query(self) -> DataFrame:
         for b in self.a.blocks.values():
             self.blocks[b.name] = self.recursive(b) if b.recursive else self.set(b.body)
@@ -124,8 +144,8 @@ class Compiler:
             return df.select(*[F.col(f"`{n}`").alias(column_name(alias, n)) for n in df.columns])
         table = self.catalog.tables[b.entity.table]
         df = self.backend.frame(table.name)
-        out, shown = [], {a.column for a in b.entity.attributes}
-        for name, column in [(a.name, a.column) for a in b.entity.attributes] + [(f"@{c.name}", c.name) for c in table.columns if c.name not in shown]:
+        out = []
+        for name, column in self.attributes(b):
             c = table.column(column) if (alias, name) in self.used else None
             if c is not None and c.encoding:
                 out.append(F.col(f"`{column}`").alias(column_name(alias, name) + "__raw"))  # for comparisons with literals
@@ -443,15 +463,23 @@ class Compiler:
                     return out
         if node.window is None:
             return out
-        out = out.over(self.window(node.window, env))
+        out = out.over(self.window(node.window, env, self.ties(node.window, env) if self.placed(node) else []))
         return out.cast("bigint") if node.name in ("row_number", "rank", "dense_rank", "ntile") else out
 
-    def window(self, w: t.Window, env: Env):
+    def ties(self, w: t.Window, env: Env) -> list[Column]:
+        """What decides after ORDER, so that a result does not hang on the order in which rows arrive: a group's keys, else the keys of all that is joined."""
+        given = {*w.partition, *w.order}
+        if env.info.grouped:
+            return [F.col(name) for v, name in env.known.items() if name.startswith("__k") and v not in given]
+        had = {(x.alias, x.name) for x in given if isinstance(x, t.Attr)}
+        return [F.col(column_name(b.alias, name)) for b in env.info.bindings.values() for name in self.key(b) if (b.alias, name) not in had]
+
+    def window(self, w: t.Window, env: Env, ties: list[Column]):
         out = W.partitionBy(*[self.column(x, env) for x in w.partition])
         if w.order:
             keys = [self.column(x, env) for x in w.order]
             last = len(keys) - 1  # the direction stands for the last key
-            out = out.orderBy(*[k.desc_nulls_last() if w.descending and i == last else k.asc_nulls_last() for i, k in enumerate(keys)])
+            out = out.orderBy(*[k.desc_nulls_last() if w.descending and i == last else k.asc_nulls_last() for i, k in enumerate(keys)], *[k.asc_nulls_last() for k in ties])
         if w.frame is not None:
             out = out.rowsBetween(W.unboundedPreceding if w.frame.low is None else w.frame.low, W.unboundedFollowing if w.frame.high is None else w.frame.high)
         return out

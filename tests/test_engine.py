@@ -17,6 +17,7 @@ from querent.errors import InvalidQuery, QueryError
 from querent.functions import temporal as tm
 from querent.insight.findings import column_statistics
 from querent.insight.quantity import declared, dims
+from querent.plans.examples import EXAMPLES
 from querent.sources import readers, results
 
 SF = "/root/testdata/sf0.001"
@@ -275,6 +276,36 @@ def test_aggregates_and_window_functions_can_be_added(spark, engine):
     assert {x.s: x.k for x in some} == {x[0]: x[1] for x in customers.agg(F.kurtosis("c_acctbal")).collect() if x[1] < 0}
 
 
+def test_window_ties(spark):
+    """Rows that a window's ORDER leaves equal come in the order of their keys, however the tables are cut; peers stay peers."""
+    import duckdb
+
+    read = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
+    tied = read("orders").selectExpr("o_orderkey", "CASE WHEN o_custkey % 7 > 0 THEN o_custkey % 7 END o_custkey", "o_orderstatus", "CASE WHEN o_custkey % 4 > 0 THEN round(o_totalprice, -5) END o_totalprice", "o_orderdate", "o_orderpriority")
+    con = duckdb.connect()
+    con.register("orders", tied.toArrow())
+    con.register("lineitem", read("lineitem").toArrow())
+    flag, price, w = "l_returnflag AS f, l_quantity AS q", "(PARTITION BY o_custkey ORDER BY o_totalprice", "(PARTITION o.custkey ORDER o.totalprice"
+    want = {
+        EXAMPLES["window_ranks"][0]: EXAMPLES["window_ranks"][1].replace("o_totalprice DESC", "o_totalprice DESC, o_orderkey"),
+        f"FIND orders o FETCH o.orderkey k, lag(o.orderkey) OVER {w}) g, first_value(o.orderkey) OVER {w}) f, sum(o.orderkey) OVER {w} ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) s": f"SELECT o_orderkey AS k, lag(o_orderkey) OVER {price}, o_orderkey) AS g, first_value(o_orderkey) OVER {price}, o_orderkey) AS f, sum(o_orderkey) OVER {price}, o_orderkey ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS s FROM orders",
+        f"FIND orders o FETCH o.orderkey k, rank() OVER {w}) r, cume_dist() OVER {w}) c, count(o.orderkey) OVER {w}) n": f"SELECT o_orderkey AS k, rank() OVER {price}) AS r, cume_dist() OVER {price}) AS c, count(o_orderkey) OVER {price}) AS n FROM orders",
+        "FIND orders o, lineitems l FETCH l.orderkey k, l.linenumber m, ntile(9) OVER (PARTITION o.custkey ORDER l.returnflag DESC) t": "SELECT l_orderkey AS k, l_linenumber AS m, ntile(9) OVER (PARTITION BY o_custkey ORDER BY l_returnflag DESC, o_orderkey, l_linenumber) AS t FROM orders JOIN lineitem ON l_orderkey = o_orderkey",
+        "FIND lineitems l FETCH l.returnflag f, l.quantity q, row_number() OVER (PARTITION l.returnflag ORDER count()) n": f"SELECT {flag}, row_number() OVER (PARTITION BY l_returnflag ORDER BY count(*), l_quantity) AS n FROM lineitem GROUP BY l_returnflag, l_quantity",
+        "WITH b AS (FIND lineitems l FETCH l.returnflag f, l.quantity q) FIND b b FETCH b.f, b.q, row_number() OVER (ORDER b.f) n": f"SELECT {flag}, row_number() OVER (ORDER BY l_returnflag, l_quantity) AS n FROM lineitem",
+    }
+    for parts, key in ((1, F.desc("o_orderkey")), (5, F.hash("o_orderkey"))):
+        lines = read("lineitem").repartition(parts).sortWithinPartitions(F.hash("l_orderkey", "l_linenumber", F.lit(parts)))
+        engine = Engine(catalog(), spark, {"orders": tied.repartition(parts).sortWithinPartitions(key), "lineitem": lines})
+        for text, sql in want.items():
+            got = sorted(map(tuple, engine.query(text).collect()), key=repr)
+            assert got == sorted(con.execute(sql).fetchall(), key=repr), (parts, text)
+    columns = [Column("a", Type("INTEGER")), Column("b", Type("TEXT"))]  # without a key
+    engine = table_engine(spark, "t", columns, [(i % 2, "dacb"[i // 2]) for i in range(8)], "a int, b string")
+    got = engine.query("FIND t t FETCH t.a, t.b, row_number() OVER (PARTITION t.a ORDER length(t.b)) n").collect()
+    assert sorted(map(tuple, got)) == [(a, b, n) for a in (0, 1) for n, b in enumerate("abcd", 1)]
+
+
 def test_explicit_form(engine):
     rows = lambda df: sorted(map(tuple, df.collect()))
     text = """SELECT customers c OUT c.name customer 1 GROUP c.name 1
